@@ -74,7 +74,8 @@ def rounded(c: Column, digits: int) -> Column:
 
 def rounded_text(c: Column, digits: int) -> Column:
     """Rounded number as text with ``digits`` decimals, ``NA`` if unreadable."""
-    return F.coalesce(F.format_string(f"%.{digits}f", F.round(number(c), digits)), F.lit(NOT_AVAILABLE))
+    x = F.round(number(c), digits)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)).otherwise(NOT_AVAILABLE)
 
 
 def round_up_to(c: Column, step: int) -> Column:
@@ -115,9 +116,13 @@ def dashed(c: Column) -> Column:
 
 def join_list(df: DataFrame, name: str, separator: str) -> Column:
     """List elements joined by a separator; a column that is no list passes through."""
-    if isinstance(df.schema[name].dataType, T.ArrayType):
-        return F.array_join(quoted(name), separator)
-    return quoted(name)
+    c, dtype = quoted(name), df.schema[name].dataType
+    if isinstance(dtype, T.ArrayType):
+        return F.array_join(c, separator)
+    if isinstance(dtype, T.VariantType):
+        joined = F.array_join(F.try_variant_get(c, "$", "array<string>"), separator)
+        return F.coalesce(joined, F.try_variant_get(c, "$", "string"))
+    return c
 
 
 def join_text(*cols: Column, separator: str = " ") -> Column:

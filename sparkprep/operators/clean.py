@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,39 +37,33 @@ def numeric_columns(df: DataFrame, types: Mapping[str, str]) -> list[str]:
     return [c for c in df.columns if types.get(c) == NUMBER]
 
 
-def _default_for(dtype: T.DataType, value: object) -> Column:
-    """The default in the column's own type; text columns take its text form."""
+def _filled(c: Column, dtype: T.DataType, default: object) -> Column:
+    """The cell, or the default where it is missing.
+
+    A column that cannot hold the default changes type: lists and objects become
+    variants, dates and numbers become text.
+    """
+    missing = is_missing(c, dtype)
     if isinstance(dtype, T.StringType):
-        return F.lit(str(value))
-    if isinstance(dtype, T.VariantType):
-        return F.to_variant_object(F.lit(value))
-    if is_numeric_type(dtype) and isinstance(value, (int, float)):
-        return F.lit(value).cast(dtype)
-    if isinstance(dtype, T.BooleanType) and isinstance(value, bool):
-        return F.lit(value)
-    return F.lit(str(value))
+        return F.when(missing, F.lit(str(default))).otherwise(c)
+    if is_nested_type(dtype) or isinstance(dtype, T.VariantType):
+        raw = c if isinstance(dtype, T.VariantType) else F.to_variant_object(c)
+        return F.when(missing, F.parse_json(F.lit(json.dumps(default)))).otherwise(raw)
+    is_flag = isinstance(default, bool) and isinstance(dtype, T.BooleanType)
+    is_number = isinstance(default, float) and is_numeric_type(dtype)
+    if is_flag or is_number:
+        return F.coalesce(c, F.lit(default).cast(dtype))
+    return F.coalesce(c.cast("string"), F.lit(str(default)))
 
 
 def impute_missing(
     df: DataFrame, types: Mapping[str, str], defaults: Mapping[str, object] = IMPUTE_DEFAULTS
 ) -> DataFrame:
-    """Fill missing cells: 0.0 in number columns, ``NA`` elsewhere.
-
-    A cell type that cannot hold the default (a date, a two-valued integer) turns
-    the column into text, as the filled column then holds mixed values.
-    """
+    """Fill missing cells: 0.0 in number columns, ``NA`` elsewhere."""
     out = []
     for f in df.schema.fields:
-        c = quoted(f.name)
-        default = _default_for(f.dataType, defaults.get(types.get(f.name, ""), defaults[""]))
-        fits = isinstance(default, Column)
-        value = defaults.get(types.get(f.name, ""), defaults[""])
-        textual = isinstance(value, str) or (isinstance(value, bool) and not isinstance(f.dataType, T.BooleanType))
-        if textual and not isinstance(f.dataType, (T.StringType, T.VariantType)):
-            filled = F.to_json(c) if is_nested_type(f.dataType) else c.cast("string")
-            out.append(F.coalesce(filled, F.lit(str(value))).alias(f.name))
-        elif fits:
-            out.append(F.when(is_missing(c, f.dataType), default).otherwise(c).alias(f.name))
+        default = defaults.get(types.get(f.name, ""), defaults[""])
+        out.append(_filled(quoted(f.name), f.dataType, default).alias(f.name))
     return df.select(*out)
 
 

@@ -227,8 +227,10 @@ def propose_expressions(source: DataFrame, target: DataFrame) -> DataFrame:
     """Best-fitting expression per target column: (v, expression, containment).
 
     Every candidate expression is evaluated in one projection over the source
-    and scored by containment of the target's values; ties go to the first name.
+    and scored by containment of the target's values; ties go to the first candidate.
     """
-    scored = value_containment(source, target, candidate_expressions(source))
-    best = F.min_by("u", F.struct(-F.col("containment"), F.length("u"), "u"))
+    candidates = candidate_expressions(source)
+    scored = value_containment(source, target, candidates)
+    place = F.array_position(F.array(*[F.lit(u) for u in candidates]), F.col("u"))
+    best = F.min_by("u", F.struct(-F.col("containment"), place))
     return scored.groupBy("v").agg(best.alias("expression"), F.max("containment").alias("containment"))

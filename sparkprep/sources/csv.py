@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkprep.session import materialise
+
 CORRUPT = "_corrupt_record"
 
 
@@ -48,7 +50,11 @@ def read_csv(
 
 
 def quarantine(df: DataFrame, corrupt: str = CORRUPT) -> tuple[DataFrame, DataFrame]:
-    """Good rows without the corrupt column, and the raw text of the bad ones."""
+    """Good rows without the corrupt column, and the raw text of the bad ones.
+
+    The scan is parsed and stored once; both parts read the stored rows.
+    """
+    df = materialise(df, "parsed")
     good = df.filter(F.col(corrupt).isNull()).drop(corrupt)
     bad = df.filter(F.col(corrupt).isNotNull()).select(corrupt)
     return good, bad

@@ -34,7 +34,7 @@ def step(name: str) -> str:
     return "['" + name.replace("'", "\\'") + "']"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_list(texts: pd.Series) -> pd.Series:
     """Path of the first list, depth first in document order."""
 
@@ -65,13 +65,18 @@ def locate_records(documents: DataFrame, column: str = "value") -> str | None:
     return paths[0] if paths else None
 
 
-def attribute_union(records: DataFrame, text: str = "value") -> list[str]:
-    """Attribute names over all objects, sorted.
+def attribute_counts(records: DataFrame, text: str = "value") -> DataFrame:
+    """Attribute names over all objects, and how many objects have each."""
+    return (
+        records.select(F.explode(F.json_object_keys(text)).alias("attribute"))
+        .groupBy("attribute")
+        .agg(F.count(F.lit(1)).alias("n_objects"))
+    )
 
-    Names are made distinct on the map side; the result is the table's header.
-    """
-    keys = records.select(F.explode(F.json_object_keys(text)).alias("k")).distinct()
-    return sorted(r["k"] for r in keys.collect())
+
+def attribute_union(records: DataFrame, text: str = "value") -> list[str]:
+    """All attribute names, sorted: the header of the table to be."""
+    return sorted(r["attribute"] for r in attribute_counts(records, text).select("attribute").collect())
 
 
 def spread(records: DataFrame, attributes: list[str], compat: bool = False) -> DataFrame:
@@ -131,7 +136,7 @@ def to_json_text(df: DataFrame) -> DataFrame:
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    to_json_text(df).write.text(path, mode=mode)
+    to_json_text(df).write.mode(mode).text(path)
 
 
 def write_json_document(
