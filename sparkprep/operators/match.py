@@ -206,6 +206,8 @@ def candidate_expressions(df: DataFrame) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for name, value in _values(df).items():
         x = S.number(value)
+        # Text that is no date is told apart first: a failing parse is costly.
+        day = F.when(value.like("____-__-__%"), F.substring(value, 1, 10))
         out |= {
             f"identity({name})": value,
             f"lower({name})": F.lower(value),
@@ -216,9 +218,9 @@ def candidate_expressions(df: DataFrame) -> dict[str, Column]:
             f"dashed({name})": S.dashed(value),
             f"round_up_10({name})": S.round_up_to(value, 10).cast("string"),
             f"rounded_0({name})": F.round(x, 0).cast("bigint").cast("string"),
-            f"day_month_year({name})": S.reformat_date(F.substring(value, 1, 10), "yyyy-MM-dd", "dd-MM-yyyy"),
-            f"year_slash({name})": S.reformat_date(F.substring(value, 1, 10), "yyyy-MM-dd", "yyyy/MM/dd"),
-            f"day_monthname_year({name})": S.reformat_date(F.substring(value, 1, 10), "yyyy-MM-dd", "dd-MMMM-yyyy"),
+            f"day_month_year({name})": S.reformat_date(day, "yyyy-MM-dd", "dd-MM-yyyy"),
+            f"year_slash({name})": S.reformat_date(day, "yyyy-MM-dd", "yyyy/MM/dd"),
+            f"day_monthname_year({name})": S.reformat_date(day, "yyyy-MM-dd", "dd-MMMM-yyyy"),
         }
     return out
 

@@ -125,7 +125,7 @@ select o_orderstatus, o_orderdate, o_orderpriority, """
     + " from polluted, med, mad",
 )
 def outlier_impute(spark, folder):
-    return C.impute_outliers(polluted(table(spark, folder, "orders"), "orders"), types_of("orders"))
+    return C.impute_outliers(polluted(table(spark, folder, "orders"), "orders", stored=True), types_of("orders"))
 
 
 def _sequential_sql(rel: str, cols: list[str]) -> tuple[str, str]:
@@ -143,7 +143,7 @@ _seq, _seq_last = _sequential_sql("lines", LINE_MEASURES)
 
 @query("q19_outlier_drop_sequential", f"with {polluted_lines_sql()}, {_seq} select * from {_seq_last}")
 def outlier_drop_sequential(spark, folder):
-    df = polluted_lines(spark, folder).drop("l_linestatus", "l_shipdate")
+    df = polluted_lines(spark, folder)
     return C.drop_outliers(df, {c: "number" for c in LINE_MEASURES})
 
 
@@ -153,7 +153,7 @@ def outlier_drop_sequential(spark, folder):
 select lines.* from lines, med, mad where not ({' or '.join(is_outlier_sql('lines', c) for c in LINE_MEASURES)})""",
 )
 def outlier_drop_simultaneous(spark, folder):
-    df = polluted_lines(spark, folder).drop("l_linestatus", "l_shipdate")
+    df = polluted_lines(spark, folder)
     return C.drop_outliers(df, {c: "number" for c in LINE_MEASURES}, sequential=False)
 
 

@@ -9,6 +9,7 @@ from sparkprep.operators import match as M
 from sparkprep.operators.restructure import Create, Drop, Merge, Rename, Split, apply_mapping, mapping_from_pairs
 from sparkprep.operators.table_functions import get_table_function, pandas_table_function, table_function
 from sparkprep.queries.registry import query, table
+from sparkprep.session import rebalanced
 
 
 @query(
@@ -245,7 +246,7 @@ union all select 'priority', 'lower(o_orderpriority)', 1.0 from n where b > 0
 union all select 'placed_on', 'day_month_year(o_orderdate)', 1.0 from n where c > 0""",
 )
 def infer_logic(spark, folder):
-    source = table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_orderdate")
+    source = rebalanced(table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_orderdate"))
     source = source.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     target = source.select(
         F.col("o_custkey").alias("client"),

@@ -20,6 +20,7 @@ from sparkprep.queries.shapes import (
     stats_sql,
     types_of,
 )
+from sparkprep.session import materialise, rebalanced
 
 
 def _rounded_dq(df):
@@ -33,7 +34,7 @@ select n_rows, round(missing_ratio, 9) as missing_ratio, round(dup_ratio, 9) as
   round(outlier_ratio, 9) as outlier_ratio, round(dq, 9) as dq from quality""",
 )
 def dq_score(spark, folder):
-    df = polluted(table(spark, folder, "events"), "events")
+    df = polluted(table(spark, folder, "events"), "events", stored=True)
     ratios = Q.quality_ratios(df, types_of("events"))
     return ratios.select("n_rows", *[F.round(c, 9).alias(c) for c in ratios.columns[1:]])
 
@@ -56,7 +57,7 @@ select cast(n as bigint) as n_rows, round(m * 100.0 / (n * 6), 3) as missing_pct
 from tally, uniq, texts""",
 )
 def dq_score_compat(spark, folder):
-    df = polluted(table(spark, folder, "events"), "events")
+    df = polluted(table(spark, folder, "events"), "events", stored=True)
     return _rounded_dq(Q.quality_metrics(df, types_of("events"), compat=True))
 
 
@@ -88,10 +89,12 @@ LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def polluted_lines(spark, folder):
-    """lineitem with outliers in its four measures."""
-    df = table(spark, folder, "lineitem")
+    """lineitem with outliers in its four measures, stored for many passes."""
+    df = rebalanced(table(spark, folder, "lineitem").drop("l_linestatus", "l_shipdate"))
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey")
-    return P.inject_outliers(df, {c: "number" for c in LINE_NUMBERS}, key, columns=LINE_MEASURES)
+    return materialise(
+        P.inject_outliers(df, {c: "number" for c in LINE_NUMBERS}, key, columns=LINE_MEASURES), "polluted-lines"
+    )
 
 
 def polluted_lines_sql(columns: str = "*") -> str:
@@ -135,7 +138,7 @@ def outlier_pct(spark, folder):
 select {metrics_columns_sql()} from quality""",
 )
 def metrics_bundle(spark, folder):
-    df = polluted(table(spark, folder, "orders"), "orders")
+    df = polluted(table(spark, folder, "orders"), "orders", stored=True)
     return _rounded_dq(Q.quality_metrics(df, types_of("orders")))
 
 
@@ -151,7 +154,7 @@ select cast(n as bigint) as n_rows, round(cast(m as double) / (n * 5), 3) as m,
 from tally, texts""",
 )
 def baseline_bundle(spark, folder):
-    return Q.baseline_metrics(polluted(table(spark, folder, "customer"), "customer"), types_of("customer"))
+    return Q.baseline_metrics(polluted(table(spark, folder, "customer"), "customer", stored=True), types_of("customer"))
 
 
 def _as_text(df):
@@ -217,7 +220,7 @@ def _profile_sql() -> str:
 def _profiles(spark, folder):
     out = None
     for name, columns in PROFILED.items():
-        part = profile_columns(_as_text(table(spark, folder, name).select(*columns.split())))
+        part = profile_columns(_as_text(rebalanced(table(spark, folder, name).select(*columns.split()))))
         part = part.drop("n_complex").withColumn("table_name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -315,7 +318,7 @@ a as (select round(missing_ratio * 100, 3) as missing_pct, round(dup_ratio * 100
 )
 def pollute_run(spark, folder):
     clean = table(spark, folder, "events")
-    dirty = polluted(clean, "events")
+    dirty = polluted(clean, "events", stored=True)
     types = types_of("events")
     out = Q.compare_quality(Q.quality_metrics(clean, types), Q.quality_metrics(dirty, types))
     return out.select("metric", *[F.round(c, 9).alias(c) for c in ("before", "after", "change")])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from sparkprep.functions.cells import BOOLEAN, NUMBER, STRING
 from sparkprep.operators.pollute import pollute
+from sparkprep.session import materialise, rebalanced
 
 KINDS = {"n": NUMBER, "s": STRING, "b": BOOLEAN, "t": STRING}
 
@@ -40,8 +41,11 @@ def types_of(name: str) -> dict[str, str]:
     return {c: KINDS[k] for c, k in TABLES[name][1].items()}
 
 
-def polluted(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
-    return pollute(df, types_of(name), TABLES[name][0], columns)
+def polluted(df: DataFrame, name: str, columns: list[str] | None = None, stored: bool = False) -> DataFrame:
+    """The table after fault injection; ``stored`` for queries that pass over it often."""
+    if not stored:
+        return pollute(df, types_of(name), TABLES[name][0], columns)
+    return materialise(pollute(rebalanced(df), types_of(name), TABLES[name][0], columns), f"polluted-{name}")
 
 
 def hit(key: str, salt: str, bound: str) -> str:

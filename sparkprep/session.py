@@ -21,6 +21,7 @@ def local_session(app: str = "sparkprep", cpus: int | str = "*") -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", str(1 << 20))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -48,11 +49,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/sparkprep/{name}-{uuid.uuid4().hex}"
 
 
+def rebalanced(df: DataFrame) -> DataFrame:
+    """Spread a table that lies in one file over the session's cores.
+
+    One file may be a single row group and so a single task, however many cores
+    wait. Tables of several files are left as they are: they need no shuffle.
+    """
+    if len(df.inputFiles()) != 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Used where a shuffled result feeds several later passes: the passes then
-    prune columns from Parquet instead of repeating the shuffle, and the files
+    Used where a shuffled or costly result feeds several later passes: the passes
+    then prune columns from Parquet instead of repeating the work, and the files
     outlive any executor. The folder is the caller's to clear between runs.
     """
     path = scratch_path(df.sparkSession, name)
