@@ -49,11 +49,15 @@ def is_nested_type(dtype: T.DataType) -> bool:
 
 
 def is_missing(c: Column, dtype: T.DataType) -> Column:
-    """NULL, empty string, or (variant) a JSON null or empty JSON string."""
+    """NULL or empty text. In a variant: JSON null or empty JSON text.
+
+    A variant that is NULL stands for a key the object lacked, which is not a
+    missing cell: it is neither counted nor filled, and leaves no key when written.
+    """
     if isinstance(dtype, T.StringType):
         return c.isNull() | (c == "")
     if isinstance(dtype, T.VariantType):
-        return c.isNull() | F.is_variant_null(c) | (F.to_json(c) == '""')
+        return F.coalesce(F.is_variant_null(c) | (F.to_json(c) == '""'), F.lit(False))
     return c.isNull()
 
 
@@ -70,7 +74,7 @@ def to_number(c: Column, dtype: T.DataType) -> Column:
 
 
 def cell_type(c: Column, dtype: T.DataType) -> Column:
-    """``number``, ``string`` or ``complex``; NULL for a missing cell."""
+    """``number``, ``string`` or ``complex``; NULL for a missing or absent cell."""
     if is_nested_type(dtype):
         kind = F.lit(COMPLEX)
     elif is_numeric_type(dtype) or isinstance(dtype, T.BooleanType):
@@ -87,7 +91,7 @@ def cell_type(c: Column, dtype: T.DataType) -> Column:
         )
     else:
         kind = F.lit(STRING)
-    return F.when(~is_missing(c, dtype), kind)
+    return F.when(c.isNotNull() & ~is_missing(c, dtype), kind)
 
 
 def comparable(c: Column, dtype: T.DataType) -> Column:

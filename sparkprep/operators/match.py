@@ -17,8 +17,8 @@ WEIGHT_THRESHOLD = 0.5
 CAPACITY_DIFFERENCE = 0.05
 MAX_ROUNDS = 1000
 
-# Distinct target values up to which they are broadcast (about 100 MB of text).
-BROADCAST_VALUES = 1_000_000
+# Size of the target's distinct values up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def column_catalogue(df: DataFrame, table: str) -> DataFrame:
@@ -102,20 +102,22 @@ def value_containment(
     source: DataFrame,
     target: DataFrame,
     source_columns: Mapping[str, Column] | None = None,
-    broadcast_values: int = BROADCAST_VALUES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Share of each target column's distinct values found in each source column.
 
     Rows: u, v, common, n_target, containment; pairs without a common value do
     not appear. Source cells that match no target value are dropped before the
-    shuffle if the target's values, counted first, are few enough to broadcast.
+    shuffle if the target's values, measured first, are small enough to broadcast.
     """
     wanted = materialise(_long_values(target, _values(target), "v"), "target-values")
     totals = wanted.groupBy("v").agg(F.count(F.lit(1)).alias("n_target"))
     columns = source_columns or _values(source)
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("u"), c.alias("value")) for n, c in columns.items()]))
     found = source.select(cells.alias("cell")).select("cell.*").filter("value is not null")
-    if wanted.limit(broadcast_values + 1).count() <= broadcast_values:
+    # Stored values with some overhead per row.
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("value") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= broadcast_bytes:
         known = F.broadcast(wanted.select("value").distinct())
         found = found.join(known, "value", "left_semi").distinct()
         pairs = found.join(F.broadcast(wanted), "value")

@@ -33,6 +33,8 @@ def inject_missing(
         if f.name in chosen:
             textual = types.get(f.name) == STRING and isinstance(f.dataType, T.StringType)
             blank = F.lit("") if textual else F.lit(None).cast(f.dataType)
+            if isinstance(f.dataType, T.VariantType):
+                blank = F.parse_json(F.lit("null"))
             c = F.when(hash_fraction(key, f"missing|{f.name}", share), blank).otherwise(c).alias(f.name)
         out.append(c)
     return df.select(*out)

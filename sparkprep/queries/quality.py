@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 
 from sparkprep.operators import pollute as P
 from sparkprep.operators import quality as Q
-from sparkprep.operators.profile import inference_accuracy, profile_columns, type_counts, value_counts
+from sparkprep.operators.profile import (
+    infer_schema,
+    inference_accuracy,
+    profile_columns,
+    type_counts,
+    typed,
+    value_counts,
+)
 from sparkprep.queries.registry import query, table
 from sparkprep.queries.shapes import (
     TABLES,
@@ -322,3 +329,14 @@ def pollute_run(spark, folder):
     types = types_of("events")
     out = Q.compare_quality(Q.quality_metrics(clean, types), Q.quality_metrics(dirty, types))
     return out.select("metric", *[F.round(c, 9).alias(c) for c in ("before", "after", "change")])
+
+
+@query(
+    "q09_typed_columns",
+    """select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate,
+  o_orderpriority from orders""",
+)
+def typed_columns(spark, folder):
+    """Text columns back to numbers by their inferred type."""
+    raw = _as_text(table(spark, folder, "orders"))
+    return typed(raw, infer_schema(raw), integers=True)

@@ -161,6 +161,6 @@ def test_containment_both_ways_agree(spark):
     source = spark.range(300).selectExpr("id % 50 a", "concat('k', id % 7) b", "'hot' c")
     target = spark.range(60).selectExpr("id x", "concat('k', id % 9) y", "'hot' z")
     small = {tuple(r) for r in match.value_containment(source, target).collect()}
-    large = {tuple(r) for r in match.value_containment(source, target, broadcast_values=0).collect()}
+    large = {tuple(r) for r in match.value_containment(source, target, broadcast_bytes=0).collect()}
     assert small == large
     assert {r[:2] + (r[4],) for r in small} >= {("a", "x", 0.833333), ("b", "y", 0.777778), ("c", "z", 1.0)}
