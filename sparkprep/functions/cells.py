@@ -105,15 +105,15 @@ def row_key(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]
     """Two 64-bit hashes that identify a row's content (``h1``, ``h2``).
 
     Counting distinct rows then shuffles 16 bytes per distinct row, not the row.
-    ``xxhash64`` passes NULLs through, so a bitmap of NULL positions goes in
-    first; nested cells are hashed as JSON text so that array borders count.
+    ``xxhash64`` passes NULLs through, so the places of NULLs are hashed as well;
+    nested cells are hashed as JSON text so that array borders count.
     """
     names = list(columns or df.columns)
     cells = [comparable(quoted(n), df.schema[n].dataType) for n in names]
-    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    nulls = [c.isNull() for c in cells]
     return [
-        F.xxhash64(nulls, *cells).alias("h1"),
-        F.xxhash64(F.lit("second"), *reversed(cells), nulls).alias("h2"),
+        F.xxhash64(*nulls, *cells).alias("h1"),
+        F.xxhash64(F.lit("second"), *reversed(cells), *nulls).alias("h2"),
     ]
 
 

@@ -258,7 +258,7 @@ def infer_logic(spark, folder):
 
 @table_function("orders_in_thousands")
 def orders_in_thousands(df):
-    return df.withColumn("thousands", F.round(F.col("o_totalprice") / 1000, 3))
+    return df.withColumn("thousands", F.col("o_totalprice") / 1000)
 
 
 @pandas_table_function("priority_number", "o_orderkey bigint, thousands double, priority_number bigint")
@@ -269,7 +269,7 @@ def priority_number(part):
 
 @query(
     "q55_table_function",
-    """select o_orderkey, round(o_totalprice / 1000, 3) as thousands,
+    """select o_orderkey, o_totalprice / 1000 as thousands,
   cast(split_part(o_orderpriority, '-', 1) as bigint) as priority_number from orders""",
 )
 def run_table_function(spark, folder):

@@ -105,6 +105,27 @@ def stream_ingest(spark, folder):
     return spark.read.parquet(out).select("run_id", "source", count.alias("objects_count"))
 
 
+@query(
+    "q49_stream_complete_once",
+    """with docs as (select cast(user_id as varchar) as run_id, event_id % 5 as origin from events)
+select run_id from docs group by run_id having count(distinct origin) = 5""",
+)
+def stream_complete(spark, folder):
+    """Runs whose five origins have all reported, each stored once."""
+    stream = _event_stream(spark, folder).selectExpr(*DOCUMENTS)
+    runs = complete_runs(stream).select("run_id")
+    out = scratch_path(spark, "complete")
+    query_ = (
+        runs.writeStream.outputMode("update")
+        .foreachBatch(ingest.store_once(out, runs.schema, "run_id"))
+        .option("checkpointLocation", scratch_path(spark, "complete-state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query_.awaitTermination()
+    return spark.read.parquet(out).select("run_id")
+
+
 # Statistics of a reference period, as a stream would be given them.
 EVENT_STATS = {"value": ColumnStats(0, 34.5, 20.0)}
 

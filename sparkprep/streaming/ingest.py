@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkprep.session import scratch_path
+from sparkprep.plans.apply import Preparation, run_preparation
+from sparkprep.reports.report import quality_document
+from sparkprep.session import materialise, scratch_path
 
 FILE_COLUMNS = ["file_name", "file_size"]
 
@@ -60,6 +63,47 @@ def store_batches(
     return write
 
 
+def store_once(table: str, schema: T.StructType, key: str) -> Callable[[DataFrame, int], None]:
+    """Batch function that keeps only the first row that a key ever yields.
+
+    Keys of earlier batches are left out, so an update stream that reports a key
+    again is stored once; running a batch again gives the same rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id > 0:
+            stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+            earlier = spark.read.schema(stored).parquet(table).filter(F.col("batch_id") < batch_id)
+            batch = batch.join(earlier.select(key), key, "left_anti")
+        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    return write
+
+
+def prepare_batches(
+    table: str, prep: Preparation, run_id: Callable[[int], str] = "run-{}".format
+) -> Callable[[DataFrame, int], None]:
+    """Batch function that prepares every arrival and stores rows and metrics.
+
+    Rows go to ``table/rows``, the metric documents before and after to
+    ``table/documents``; a failed arrival leaves zero metrics and no rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        batch = materialise(batch.drop(*FILE_COLUMNS), "arrival")
+        result = run_preparation(batch, prep)
+        if result.table is not None:
+            result.table.write.mode("overwrite").parquet(f"{table}/rows/batch_id={batch_id}")
+        documents = quality_document(result.before, run_id(batch_id), "pre_etl_pipeline", now).unionByName(
+            quality_document(result.after, run_id(batch_id), "post_etl_pipeline", now)
+        )
+        documents.write.mode("overwrite").parquet(f"{table}/documents/batch_id={batch_id}")
+
+    return write
+
+
 def arrival_documents(batch: DataFrame, origin: str) -> DataFrame:
     """One metric document per file of a batch: run_id, source, ts, contents."""
     return (

@@ -79,6 +79,33 @@ def test_every_file_is_one_batch_and_counts_once(spark, tmp_path):
     assert joined.count() == 2
 
 
+def test_updates_are_stored_once(spark):
+    out = scratch_path(spark, "once")
+    batch = lambda *keys: spark.createDataFrame([(k,) for k in keys], "run_id string")
+    write = ingest.store_once(out, batch("a").schema, "run_id")
+    for number, keys in enumerate([("a", "b"), ("b", "c"), ("c",)]):
+        write(batch(*keys), number)
+    write(batch("b", "c"), 1)
+    assert sorted(r["run_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_prepared_arrivals_equal_the_batch_run(spark, tmp_path):
+    from sparkprep.plans.apply import Preparation, apply_preparation
+
+    folder = tmp_path / "arrivals"
+    folder.mkdir()
+    text = "id,v\n" + "".join(f"{i % 30},{i % 30 if i % 7 else ''}\n" for i in range(40))
+    (folder / "one.csv").write_text(text)
+    prep = Preparation(steps=("missingValues/impute", "duplicates", "outliers/impute"))
+    stream = ingest.file_stream(spark, str(folder), "csv", "id string, v string", options={"header": "true"})
+    out = scratch_path(spark, "prepared")
+    ingest.watch_directory(stream, ingest.prepare_batches(out, prep), scratch_path(spark, "state")).awaitTermination()
+    batch = apply_preparation(spark.read.csv(str(folder), header=True, schema="id string, v string"), prep)
+    got = spark.read.parquet(f"{out}/rows").drop("batch_id")
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+    assert {r["source"] for r in spark.read.parquet(f"{out}/documents").collect()} == {"pre_etl_pipeline", "post_etl_pipeline"}
+
+
 def one(spark, layout, **cells):
     df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in cells.items()])
     return LAYOUTS[layout](df).first().asDict()
