@@ -31,7 +31,7 @@ from sparkprep.functions.cells import MAD_THRESHOLD, quoted, to_number
 # Most values of one column that the last step may gather (1.6 MB of doubles).
 GATHER_LIMIT = 200_000
 # Cells (rows x columns) up to which Spark's own median is the cheaper job.
-SMALL_CELLS = 1_000_000
+SMALL_CELLS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -91,27 +91,22 @@ def numeric_cells(df: DataFrame, name: str) -> Column:
 
 
 def _sample_size(n: int) -> int:
-    return min(max(n // 100, 100_000), 10_000_000)
+    return min(max(n // 100, 20_000), 10_000_000)
 
 
-def _any(conditions: Sequence[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def _sql(x: float) -> str:
+    """A double as SQL text, exactly."""
+    return f"double('{x!r}')"
 
 
 def _propose(
-    df: DataFrame, values: Mapping[str, Column], state: Mapping[str, _Bracket], draw: int
-) -> dict[str, tuple]:
+    df: DataFrame, values: Mapping[str, str], state: Mapping[str, _Bracket], draw: int
+) -> dict[str, tuple[float, float]]:
     """Two sampled values per column that should enclose its wanted ranks."""
-    names = list(state)
     share = {c: min(1.0, _sample_size(b.within) / max(b.within, 1)) for c, b in state.items()}
-    drawn = df.withColumn("__draw", F.rand(draw)) if min(share.values()) < 1 else df.withColumn("__draw", F.lit(0.0))
-    inside = {c: (values[c] >= F.lit(state[c].lo)) & (values[c] <= F.lit(state[c].hi)) for c in names}
-    aggs = []
-    for i, c in enumerate(names):
-        b = state[c]
+    taken, quantiles = {}, {}
+    for c, b in state.items():
+        taken[c] = f"({values[c]} between {_sql(b.lo)} and {_sql(b.hi)} and draw < {share[c]!r}D)"
         m = max(b.within - 1, 1)
         # Four standard errors of a sampled rank (none if every cell is taken),
         # the sketch's own error and one rank; wider after a miss.
@@ -119,48 +114,49 @@ def _propose(
         slack = (1 + b.misses) * (sampling + 2.0 / SKETCH_ACCURACY + 1.0 / m)
         low = min(max((b.ranks[0] - b.below) / m - slack, 0.0), 1.0)
         high = min(max((b.ranks[1] - b.below) / m + slack, 0.0), 1.0)
-        taken = F.when(inside[c] & (F.col("__draw") < share[c]), values[c])
-        aggs.append(F.percentile_approx(taken, [low, high], SKETCH_ACCURACY).alias(f"q{i}"))
-    wanted = _any([inside[c] & (F.col("__draw") < share[c]) for c in names])
-    row = drawn.filter(wanted).agg(*aggs).first()
-    return {c: tuple(row[f"q{i}"]) if row[f"q{i}"] else (state[c].lo, state[c].hi) for i, c in enumerate(names)}
+        quantiles[c] = f"array({low!r}D, {high!r}D)"
+    drawn = df.selectExpr("*", f"rand({draw}) as draw" if min(share.values()) < 1 else "0.0D as draw")
+    row = (
+        drawn.filter(" or ".join(taken.values()))
+        .selectExpr(
+            *[
+                f"percentile_approx(case when {taken[c]} then {values[c]} end, {quantiles[c]}, {SKETCH_ACCURACY}) as q{i}"
+                for i, c in enumerate(state)
+            ]
+        )
+        .first()
+    )
+    return {c: tuple(row[f"q{i}"] or (b.lo, b.hi)) for i, (c, b) in enumerate(state.items())}
 
 
-def _count(df: DataFrame, values: Mapping[str, Column], ranges: Mapping[str, tuple]) -> dict[str, tuple]:
+def _count(df: DataFrame, values: Mapping[str, str], ranges: Mapping[str, tuple]) -> dict[str, tuple]:
     """Exact number of cells below, on the edges of, and inside each range."""
     aggs = []
-    for i, (c, (lo, hi)) in enumerate(ranges.items()):
-        v = values[c]
+    for i, (c, ends) in enumerate(ranges.items()):
+        v, lo, hi = values[c], _sql(ends[0]), _sql(ends[1])
         aggs += [
-            F.count_if(v < F.lit(lo)).alias(f"below{i}"),
-            F.count_if(v == F.lit(lo)).alias(f"lo{i}"),
-            F.count_if((v > F.lit(lo)) & (v < F.lit(hi))).alias(f"mid{i}"),
-            F.count_if((v == F.lit(hi)) & F.lit(hi != lo)).alias(f"hi{i}"),
+            f"count_if({v} < {lo}) as below{i}",
+            f"count_if({v} = {lo}) as lo{i}",
+            f"count_if({v} > {lo} and {v} < {hi}) as mid{i}",
+            f"count_if({v} = {hi} and {hi} <> {lo}) as hi{i}",
         ]
-    row = df.agg(*aggs).first()
+    row = df.selectExpr(*aggs).first()
     return {c: (row[f"below{i}"], row[f"lo{i}"], row[f"mid{i}"], row[f"hi{i}"]) for i, c in enumerate(ranges)}
 
 
-def _read_ranks(df: DataFrame, values: Mapping[str, Column], state: Mapping[str, _Bracket]) -> dict[str, float]:
+def _read_ranks(df: DataFrame, values: Mapping[str, str], state: Mapping[str, _Bracket]) -> dict[str, float]:
     """Median per column from the few cells strictly inside its bracket."""
     found = {c: [b.edge_value(r) for r in b.ranks] for c, b in state.items()}
     names = [c for c in state if None in found[c]]
     if names:
-        inside = {c: (values[c] > F.lit(state[c].lo)) & (values[c] < F.lit(state[c].hi)) for c in names}
-        picks = []
+        inside, gathered, picks = [], [], []
         for i, c in enumerate(names):
             b = state[c]
+            inside.append(f"({values[c]} > {_sql(b.lo)} and {values[c]} < {_sql(b.hi)})")
+            gathered.append(f"array_sort(collect_list(case when {inside[i]} then {values[c]} end)) as mid{i}")
             for j, rank in enumerate(b.ranks):
-                at = rank - b.below - b.on_lo + 1
-                picks.append(
-                    F.try_element_at(F.array_sort(f"mid{i}"), F.lit(max(at, 1))).alias(f"pick{i}_{j}")
-                )
-        row = (
-            df.filter(_any(list(inside.values())))
-            .agg(*[F.collect_list(F.when(inside[c], values[c])).alias(f"mid{i}") for i, c in enumerate(names)])
-            .select(*picks)
-            .first()
-        )
+                picks.append(f"try_element_at(mid{i}, {max(rank - b.below - b.on_lo + 1, 1)}) as pick{i}_{j}")
+        row = df.filter(" or ".join(inside)).selectExpr(*gathered).selectExpr(*picks).first()
         for i, c in enumerate(names):
             found[c] = [row[f"pick{i}_{j}"] if v is None else v for j, v in enumerate(found[c])]
     return {c: (low + high) / 2 for c, (low, high) in found.items()}
@@ -168,19 +164,19 @@ def _read_ranks(df: DataFrame, values: Mapping[str, Column], state: Mapping[str,
 
 def medians(
     df: DataFrame,
-    values: Mapping[str, Column],
+    values: Mapping[str, str],
     counts: Mapping[str, int],
     small_cells: int = SMALL_CELLS,
     gather_limit: int = GATHER_LIMIT,
 ) -> dict[str, float | None]:
-    """Exact median (mean of the middle two) of each expression.
+    """Exact median (mean of the middle two) of each SQL expression over ``df``.
 
     ``counts`` holds the number of non-null values of each expression.
     """
     filled = {c: v for c, v in values.items() if counts[c]}
     out: dict[str, float | None] = {c: None for c in values}
     if filled and sum(counts[c] for c in filled) <= small_cells:
-        row = df.agg(*[F.median(v).alias(f"m{i}") for i, v in enumerate(filled.values())]).first()
+        row = df.selectExpr(*[f"median({v}) as m{i}" for i, v in enumerate(filled.values())]).first()
         return out | {c: row[f"m{i}"] for i, c in enumerate(filled)}
     state = {c: _Bracket(counts[c], between=counts[c]) for c in filled}
     draw, gather_limit = 0, max(gather_limit, 100)
@@ -212,10 +208,10 @@ def outlier_stats(
     if not columns:
         return {}
     narrow = df.select(*[numeric_cells(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
-    cells = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
-    row = narrow.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(cells.values())]).first()
+    cells = {c: f"x{i}" for i, c in enumerate(columns)}
+    row = narrow.selectExpr(*[f"count({x}) as n{i}" for i, x in enumerate(cells.values())]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
     centre = medians(narrow, cells, counts, small_cells, gather_limit)
-    spread = {c: F.abs(cells[c] - F.lit(centre[c])) for c in columns if centre[c] is not None}
+    spread = {c: f"abs({cells[c]} - {_sql(m)})" for c, m in centre.items() if m is not None}
     mads = medians(narrow, spread, counts, small_cells, gather_limit)
     return {c: ColumnStats(counts[c], centre[c], mads.get(c)) for c in columns}

@@ -1,7 +1,8 @@
 """Value standardisation of thirteen known layouts.
 
 Each function takes an imputed source table and returns the target layout in one
-projection; ``NA`` cells pass through. Where published examples and rules differ,
+projection; ``NA`` cells pass through. The source and target column names, labels
+and date patterns are fixed values of the layouts. Where published examples and rules differ,
 the example decides, then the rule.
 """
 

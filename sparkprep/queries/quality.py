@@ -20,7 +20,6 @@ from sparkprep.queries.shapes import (
     hit,
     metrics_columns_sql,
     missing_sql,
-    numbers_of,
     polluted,
     polluted_sql,
     quality_sql,

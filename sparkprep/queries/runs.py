@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sparkprep.operators.pollute import inject_duplicates
 from sparkprep.operators.robust import ColumnStats
 from sparkprep.queries.registry import query, table
-from sparkprep.queries.shapes import types_of
 from sparkprep.reports.report import render_reports
 from sparkprep.session import scratch_path
 from sparkprep.streaming import ingest

@@ -60,6 +60,11 @@ def rebalanced(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def pinned(row: DataFrame) -> DataFrame:
+    """A one-row frame of finished numbers instead of the jobs behind them."""
+    return row.sparkSession.createDataFrame([row.first()], row.schema)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
