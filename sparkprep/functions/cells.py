@@ -28,10 +28,11 @@ MAD_THRESHOLD = 3
 # Text that counts as a number: decimal literals with optional exponent, digit
 # groups joined by single underscores, signed infinities and nan. Spark's own
 # cast would also take a type suffix (``1d``) and hexadecimal floats.
-_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+# Possessive quantifiers keep long texts from being scanned twice.
+_DIGITS = r"[0-9]++(?:_[0-9]++)*+"
 NUMBER_PATTERN = (
-    rf"(?i)^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
-    r"|inf|infinity|nan)\s*$"
+    rf"^\s*+[+-]?+(?:(?:{_DIGITS}\.?+(?:{_DIGITS})?+|\.{_DIGITS})(?:[eE][+-]?+{_DIGITS})?+"
+    r"|(?i:inf|infinity|nan))\s*+$"
 )
 
 

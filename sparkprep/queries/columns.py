@@ -225,12 +225,32 @@ def _evidence_matches(spark, folder):
     return M.match_columns(M.ranked(evidence).join(place, "u"))
 
 
-@query("q43_column_match")
+# With distinct weights and no rival within five percent, a stable matching is the
+# greedy one: heaviest pair first, each column once. That is what the SQL walks.
+_greedy = f"""with recursive evidence as ({_evidence_sql()}),
+scored as (select u, v, round((coalesce(weight, 0) + coalesce(containment, 0)) / 2, 6) as weight from evidence),
+numbered as (select *, row_number() over (order by weight desc, u, v) as k from scored),
+walk as (select cast(0 as bigint) as k, cast([] as varchar[]) as us, cast([] as varchar[]) as vs
+  union all select n.k,
+    case when list_contains(us, n.u) or list_contains(vs, n.v) then us else list_append(us, n.u) end,
+    case when list_contains(us, n.u) or list_contains(vs, n.v) then vs else list_append(vs, n.v) end
+  from walk join numbered n on n.k = walk.k + 1),
+last as (select us, vs from walk order by k desc limit 1),
+pairs as (select unnest(us) as u, unnest(vs) as v from last)"""
+
+
+@query("q43_column_match", f"{_greedy} select u, v, weight from pairs join scored using (u, v)")
 def column_match(spark, folder):
     return _evidence_matches(spark, folder)
 
 
-@query("q44_create_drop_lists")
+@query(
+    "q44_create_drop_lists",
+    f"""{_greedy}, targets(c) as (values ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal')),
+sources(c) as (values ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment'))
+select 'CREATE' as action, c as "column" from targets where c not in (select v from pairs)
+union all select 'DROP' as action, c as "column" from sources where c not in (select u from pairs)""",
+)
 def create_drop_lists(spark, folder):
     source = M.column_catalogue(table(spark, folder, "customer"), "customer")
     target = M.column_catalogue(table(spark, folder, "supplier"), "supplier")
