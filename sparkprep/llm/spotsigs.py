@@ -39,11 +39,16 @@ COMMON = (
     "el los las del por con para se no lo"
 ).split()
 
+# So many common words in a row are passed over; an anchor before a longer run starts no chain. (The pattern's
+# repetition is recursive, so it needs a bound.)
+MOST_PASSED = 20
+
 _COMMON = "(?:" + "|".join(COMMON) + ")"
-_CONTENT = rf"(?!{_COMMON} )[^ ]+"
+_RUN = f"(?:{_COMMON} ){{0,{MOST_PASSED}}}+"
+_CONTENT = f"(?!{_COMMON} )[^ ]+"
 # Words stand between single spaces; the lookahead lets chains of neighbouring anchors overlap.
-_SPOT = rf"(?<= )(?={_COMMON} )(?=({'[^ ]+ ' + '(?:' + _COMMON + ' )*+'}{(_CONTENT + ' (?:' + _COMMON + ' )*+') * (CHAIN - 1)}{_CONTENT}) )"
-_PASSED = rf"(?<= )(?:{_COMMON} )+"
+_SPOT = rf"(?<= )(?={_COMMON} )(?=([^ ]+ {_RUN}{(_CONTENT + ' ' + _RUN) * (CHAIN - 1)}{_CONTENT}) )"
+_PASSED = f"(?<= )(?:{_COMMON} )+"
 
 
 def signatures(text: Column) -> Column:

@@ -111,7 +111,13 @@ def spots(text):
     out = set()
     for i, word in enumerate(words):
         if word in spotsigs.COMMON:
-            chain = [w for w in words[i + 1 :] if w not in spotsigs.COMMON][: spotsigs.CHAIN]
+            chain, passed = [], 0
+            for w in words[i + 1 :]:
+                passed = passed + 1 if w in spotsigs.COMMON else 0
+                if passed > spotsigs.MOST_PASSED or len(chain) == spotsigs.CHAIN:
+                    break
+                if not passed:
+                    chain.append(w)
             if len(chain) == spotsigs.CHAIN:
                 out.add(" ".join([word, *chain]))
     return out
@@ -119,6 +125,7 @@ def spots(text):
 
 def test_signatures_by_hand(spark):
     texts = [r[1] or "" for r in data.rows()]
+    texts += ["the " * 50_000 + "end of it", "of " + "the " * 20 + "one two", "of " + "the " * 21 + "one " + "und " * 20 + "two three"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("doc_id", "text")
     got = {r.doc_id: set(r.s) for r in rows.select("doc_id", spotsigs.signatures(rows.text).alias("s")).collect()}
     names = sorted(set().union(*map(spots, texts)))
