@@ -43,22 +43,32 @@ COMMON = (
 # repetition is recursive, so it needs a bound.)
 MOST_PASSED = 20
 
-_COMMON = "(?:" + "|".join(COMMON) + ")"
-_RUN = f"(?:{_COMMON} ){{0,{MOST_PASSED}}}+"
-_CONTENT = f"(?!{_COMMON} )[^ ]+"
-# Words stand between single spaces; the lookahead lets chains of neighbouring anchors overlap.
-_SPOT = rf"(?<= )(?={_COMMON} )(?=([^ ]+ {_RUN}{(_CONTENT + ' ' + _RUN) * (CHAIN - 1)}{_CONTENT}) )"
-_PASSED = f"(?<= )(?:{_COMMON} )+"
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, by first letter."""
+    letters = dict.fromkeys(w[0] for w in words)
+    return "(?:" + "|".join(c + "(?:" + "|".join(w[1:] for w in words if w[0] == c) + ")" for c in letters) + ")"
+
+
+# The length is looked at first: most words are longer than any common one.
+_COMMON = f" (?=[^ ]{{{min(map(len, COMMON))},{max(map(len, COMMON))}}} )(?={_any_of(COMMON)} )"
+# Words stand between single spaces, common ones behind a mark; the lookahead lets chains of neighbouring anchors overlap.
+MARK = "\x01"
+_RUN = f"(?:{MARK}[^ ]+ ){{0,{MOST_PASSED}}}+"
+_CONTENT = f"[^ {MARK}][^ ]*"
+_SPOT = f"{MARK}(?=([^ ]+ {_RUN}{(_CONTENT + ' ' + _RUN) * (CHAIN - 1)}{_CONTENT}) )"
+_PASSED = f"{MARK}[^ ]+ "
 
 
 def signatures(text: Column) -> Column:
     """The ordered set of hashes of a text's spot signatures."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    spots = F.regexp_extract_all(words, F.lit(_SPOT), F.lit(1))
-    # behind the anchor, drop the common words that were passed over
-    hashed = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, _PASSED, "")))
+    marked = F.regexp_replace(words, _COMMON, f" {MARK}")
+    spots = F.array_join(F.regexp_extract_all(marked, F.lit(_SPOT), F.lit(1)), "\n")
+    # behind the anchors, drop the common words that were passed over; no spots at all leave one empty string
+    chains = F.split(F.regexp_replace(spots, _PASSED, ""), "\n")
     whole = F.when(F.trim(words) == "", F.xxhash64(text)).otherwise(F.xxhash64(words))
-    return F.when(F.size(hashed) > 0, F.sort_array(F.array_distinct(hashed))).otherwise(F.array(whole))
+    return F.sort_array(F.array_distinct(F.transform(chains, lambda s: F.when(s == "", whole).otherwise(F.xxhash64(s)))))
 
 
 def digest(signs: Column) -> Column:
