@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from sparkprep.llm.common import WORDS, texts
 from sparkprep.session import materialise
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 CONCENTRATION = 1000.0
 START = "▁"
 LN10 = math.log(10.0)
