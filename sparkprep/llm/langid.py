@@ -24,7 +24,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,58 +46,79 @@ CACHED_WORDS = 200_000
 
 @dataclass
 class Model:
-    """Log frequencies by word and by n-gram, one array entry per language."""
+    """Log frequencies of words and n-grams: where each one's row is, and a row per item with a number per language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        """A word's log frequency in each language; of its longest known n-grams if it is unseen."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        score = self.cache.get(word)
-        if score is None:
-            score = self._unseen(f" {word} ")
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            self.cache[word] = score
-        return score
-
-    def _unseen(self, padded: str) -> np.ndarray:
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean over a word's longest known n-grams; even if it has none."""
+        padded = f" {word} "
         for n in LENGTHS:
             found = [g for g in (self.grams.get(padded[i : i + n]) for i in range(len(padded) - n + 1)) if g is not None]
             if found:
-                return sum(found) / len(found)
+                return self.gram_rows[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
+    def word(self, word: str) -> np.ndarray:
+        """A word's log frequency in each language; of its longest known n-grams if it is unseen."""
+        row = self.words.get(word)
+        return self.unseen(word) if row is None else self.word_rows[row]
+
+    def predict(self, text: str) -> tuple[str, float]:
+        return Predictor(self).predict(text)
+
+
+class Predictor(dict):
+    """A model in use: rows of its words, and of unseen words met so far."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.words)
+        self.model = model
+        self.rows = np.concatenate([model.word_rows, np.zeros((1024, len(model.languages)))])
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        if row == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[row] = self.model.unseen(word)
+        self[word] = row
+        return row
+
     def predict(self, text: str) -> tuple[str, float]:
         words = Counter(LETTERS.findall(text.lower()))
+        languages = self.model.languages
         # digits like a superscript two are no letters, though they are no decimal digits either
-        if not self.languages or not any(c.isalpha() for word in words for c in word):
+        if not languages or not any(c.isalpha() for word in words for c in word):
             return UNDETERMINED, 0.0
-        scores, n = np.zeros(len(self.languages)), 0
-        for word, count in words.items():
-            scores += count * self.word(word)
-            n += count
-        scores *= min(n, EVIDENCE_WORDS) / n
+        if len(self) > len(self.model.words) + CACHED_WORDS:
+            self.__init__(self.model)
+        counts = np.fromiter(words.values(), dtype=float, count=len(words))
+        at = [self[word] for word in words]
+        scores = counts @ self.rows[at] * (min(counts.sum(), EVIDENCE_WORDS) / counts.sum())
         chances = np.exp(scores - scores.max())
         best = int(np.argmax(scores))
-        return self.languages[best], float(chances[best] / chances.sum())
+        return languages[best], float(chances[best] / chances.sum())
+
+
+@lru_cache(maxsize=1)
+def _predictor(shared) -> Predictor:
+    """One per broadcast model and Python worker."""
+    return Predictor(shared.value)
 
 
-def _log_shares(rows: list, languages: list[str]) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies from (language, item, count) rows."""
+def _log_shares(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Smoothed log frequencies from (language, item, count) rows: each item's row number, and the rows."""
     at = {language: i for i, language in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    totals = np.zeros(len(languages))
+    items = {item: i for i, item in enumerate(dict.fromkeys(item for _, item, _ in rows))}
+    counts = np.zeros((len(items), len(languages)))
     for language, item, count in rows:
-        counts.setdefault(item, np.zeros(len(languages)))[at[language]] += count
-        totals[at[language]] += count
+        counts[items[item], at[language]] += count
     floor = 0.5
-    return {item: np.log((c + floor) / (totals + floor * len(counts))) for item, c in counts.items()}
+    return items, np.log((counts + floor) / (counts.sum(axis=0) + floor * max(1, len(items))))
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -127,10 +149,13 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     known, parts = frequent(words, "word", MODEL_WORDS), frequent(grams, "gram", MODEL_GRAMS, F.length("gram"))
     languages = sorted({r[0] for r in known})
-    by_length: dict[str, np.ndarray] = {}
+    grams, rows = {}, [np.zeros((0, len(languages)))]
     for n in LENGTHS:
-        by_length |= _log_shares([r for r in parts if len(r[1]) == n], languages)
-    return Model(languages, _log_shares(known, languages), by_length)
+        items, shares = _log_shares([r for r in parts if len(r[1]) == n], languages)
+        first = len(grams)
+        grams |= {item: first + i for item, i in items.items()}
+        rows.append(shares)
+    return Model(languages, *_log_shares(known, languages), grams, np.concatenate(rows))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -139,7 +164,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def run(column: pd.Series) -> pd.DataFrame:
-        found = [shared.value.predict(t if isinstance(t, str) else "") for t in column]
+        use = _predictor(shared)
+        found = [use.predict(t if isinstance(t, str) else "") for t in column]
         return pd.DataFrame(found, columns=["lang_pred", "lang_score"])
 
     kept = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "lang_score", "__guess")]
