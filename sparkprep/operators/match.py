@@ -15,7 +15,6 @@ from sparkprep.session import materialise
 # Fixed values of the matcher.
 WEIGHT_THRESHOLD = 0.5
 CAPACITY_DIFFERENCE = 0.05
-MAX_ROUNDS = 1000
 
 # Size of the target's distinct values up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -140,22 +139,19 @@ def _stable_pairs(edges: pd.DataFrame, diff: float = CAPACITY_DIFFERENCE) -> lis
     Sources propose in turn to their best target that has not refused them. A
     target takes a second source whose weight is within ``diff`` of the first;
     otherwise the heavier stays. Two holders give way only to a source heavier
-    than both together.
+    than both together. Every refusal or replacement strikes a wish, so it ends.
     """
     ordered = edges.sort_values(["u_position", "rank"])
     wishes = {u: list(g["v"]) for u, g in ordered.groupby("u", sort=False)}
     weight = {(u, v): w for u, v, w in zip(edges["u"], edges["v"], edges["weight"])}
     queue = list(wishes)
     holders: dict[str, list[str]] = {}
-    for _ in range(MAX_ROUNDS):
-        queue = [u for u in queue if wishes[u]]
-        if not queue:
-            break
+    while queue := [u for u in queue if wishes[u]]:
         u = queue[0]
         v = wishes[u][0]
         held, mine = holders.setdefault(v, []), weight[(u, v)]
         theirs = [weight[(h, v)] for h in held]
-        if len(held) == 1 and abs(mine - theirs[0]) / theirs[0] <= diff:
+        if len(held) == 1 and abs(mine - theirs[0]) <= diff * theirs[0]:
             held.append(u)
             queue.remove(u)
         elif not held or (len(held) == 1 and mine >= theirs[0]) or (len(held) == 2 and mine > sum(theirs)):

@@ -201,13 +201,15 @@ def outlier_stats(
     small_cells: int = SMALL_CELLS,
     gather_limit: int = GATHER_LIMIT,
 ) -> dict[str, ColumnStats]:
-    """Median and MAD of each column, over the cells that are numbers.
+    """Median and MAD of each column, over the cells that are finite numbers.
 
+    Infinite cells have no part in either, and are outliers wherever a MAD exists.
     Returns one small record per column; nothing else reaches the driver.
     """
     if not columns:
         return {}
-    narrow = df.select(*[numeric_cells(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    finite = [F.when(F.abs(numeric_cells(df, c)) < F.lit(math.inf), numeric_cells(df, c)) for c in columns]
+    narrow = df.select(*[x.alias(f"x{i}") for i, x in enumerate(finite)])
     cells = {c: f"x{i}" for i, c in enumerate(columns)}
     row = narrow.selectExpr(*[f"count({x}) as n{i}" for i, x in enumerate(cells.values())]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}

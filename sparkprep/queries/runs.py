@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkprep.operators.pollute import inject_duplicates
-from sparkprep.operators.robust import ColumnStats
+from sparkprep.operators.robust import outlier_stats
 from sparkprep.queries.registry import query, table
 from sparkprep.reports.report import render_reports
 from sparkprep.session import scratch_path
@@ -125,23 +125,23 @@ def stream_complete(spark, folder):
     return spark.read.parquet(out).select("run_id")
 
 
-# Statistics of a reference period, as a stream would be given them.
-EVENT_STATS = {"value": ColumnStats(0, 34.5, 20.0)}
-
-
 @query(
     "q50_stream_windowed_quality",
-    """with spans as (select time_bucket(interval '1 hour', ts) as window_start, count(*) as n_rows,
+    """with centre as (select median(value) as m from events), spread as (select median(abs(value - m)) as d from events, centre),
+spans as (select time_bucket(interval '1 hour', ts) as window_start, count(*) as n_rows,
     sum(case when event_type is null or event_type = '' then 1 else 0 end) as m,
-    sum(case when abs(value - 34.5) > 60 then 1 else 0 end) as o, max(ts) as last from events group by 1)
+    sum(case when abs(value - centre.m) > 3 * d then 1 else 0 end) as o from events, centre, spread group by 1)
 select window_start, n_rows, round(m * 100.0 / (n_rows * 3), 3) as missing_pct, round(o * 100.0 / n_rows, 3) as outlier_pct
-from spans where window_start + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)""",
+from spans""",
 )
 def stream_quality(spark, folder):
+    """Every window, open ones included, judged by the whole table's median and MAD."""
+    stats = outlier_stats(table(spark, folder, "events"), ["value"])
     events = _event_stream(spark, folder).select("ts", "event_type", "user_id", "value")
     types = {"event_type": "string", "user_id": "string", "value": "number"}
-    windows = windowed_quality(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes", types, EVENT_STATS)
-    return ingest.run_to_table(windows, "windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    windows = windowed_quality(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes", types, stats)
+    newest = ingest.newest_rows(windows, "windows", ["window_start"])
+    return newest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("q50_stream_first_copies", "select event_id, user_id, event_type, value from events")

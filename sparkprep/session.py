@@ -50,14 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def rebalanced(df: DataFrame) -> DataFrame:
-    """Spread a table that lies in one file over the session's cores.
+    """Spread a table whose scan has fewer tasks than the session has cores over all of them.
 
-    One file may be a single row group and so a single task, however many cores
-    wait. Tables of several files are left as they are: they need no shuffle.
+    Larger tables are left as they are: they need no shuffle.
     """
-    if len(df.inputFiles()) != 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def pinned(row: DataFrame) -> DataFrame:

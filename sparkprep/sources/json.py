@@ -16,22 +16,23 @@ from pyspark.sql import types as T
 
 from sparkprep.functions.cells import ABSENT, quoted
 
-# Most records that a single JSON document may be written with.
+# Most records that are written into one document; more go to part files beside it.
 DOCUMENT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class JsonRecords:
-    """Records, the path of their list in the document, and the documents."""
+    """Records, the path of their list, the documents, and the text of what could not be read."""
 
     table: DataFrame
     path: str | None
     documents: DataFrame | None
+    rejected: DataFrame | None = None
 
 
 def step(name: str) -> str:
-    """One object key as a JSON path step."""
-    return "['" + name.replace("'", "\\'") + "']"
+    """One object key as a path step; a key with a single quote stands in double quotes."""
+    return f'["{name}"]' if "'" in name else f"['{name}']"
 
 
 @F.pandas_udf(T.StringType())
@@ -105,7 +106,8 @@ def read_json_lines(spark: SparkSession, path: str, compat: bool = False) -> tup
 def read_json_document(spark: SparkSession, path: str, compat: bool = False) -> JsonRecords | None:
     """Records of whole JSON documents; None if there is no list of objects.
 
-    A document is one row and so one task: large inputs should be JSON lines.
+    Documents without the list and list elements that are no objects are kept as
+    rejected text. A document is one row and so one task: large inputs should be JSON lines.
     """
     documents = spark.read.text(path, wholetext=True)
     where = locate_records(documents)
@@ -115,11 +117,15 @@ def read_json_document(spark: SparkSession, path: str, compat: bool = False) ->
     records = lists.lateralJoin(
         spark.tvf.variant_explode(F.col("list").outer()).select(F.col("value").alias("record"))
     ).select("record")
-    records = records.filter(F.schema_of_variant("record").startswith("OBJECT"))
+    is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
+    listed = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), where, "variant")).startswith("ARRAY"), F.lit(False))
+    odd = records.filter(F.col("record").isNotNull() & ~is_object).select(F.to_json("record").alias("value"))
+    rejected = documents.filter(~listed).unionByName(odd)
+    records, documents = records.filter(is_object), documents.filter(listed)
     attributes = attribute_union(records.select(F.to_json("record").alias("value")))
     if not attributes:
         return None
-    return JsonRecords(spread(records, attributes, compat), where, documents)
+    return JsonRecords(spread(records, attributes, compat), where, documents, rejected)
 
 
 def to_json_text(df: DataFrame) -> DataFrame:
@@ -144,11 +150,16 @@ def write_json_document(
 ) -> None:
     """One document: the records in their old place, all other keys kept.
 
-    A document is one value, so this refuses more than ``max_rows`` records;
-    larger results belong in JSON lines.
+    A document is one value. More than ``max_rows`` records, or records of several
+    documents, go to part files in ``<path>/records`` instead, and each document
+    without its list is a line of ``<path>/envelopes``.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} records for one document; write JSON lines")
+    several = records is not None and records.documents is not None and records.documents.limit(2).count() > 1
+    if several or df.limit(max_rows + 1).count() > max_rows:
+        write_json_lines(df, f"{path.rstrip('/')}/records")
+        if records is not None and records.path != "$" and records.documents is not None:
+            _envelopes(records).write.text(f"{path.rstrip('/')}/envelopes")
+        return
     body = to_json_text(df).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("body"))
     if records is None or records.path == "$" or records.documents is None:
         body.select(F.col("body").alias("value")).write.text(path)
@@ -165,6 +176,20 @@ def write_json_document(
     outer.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value")).write.text(path)
 
 
+def _envelopes(records: JsonRecords) -> DataFrame:
+    """Each document without the key that leads to its list."""
+    top = _top_level_key(records.path)
+    keys = F.filter(F.json_object_keys("value"), lambda k: k != F.lit(top))
+    children = F.try_variant_get(F.parse_json("value"), "$", "map<string,variant>")
+    held = records.documents.select(F.monotonically_increasing_id().alias("id"), children.alias("children"), keys.alias("names"))
+    parts = held.select("id", "children", F.posexplode_outer("names").alias("i", "k"))
+    child = F.to_json(F.col("children")[F.col("k")])
+    name = F.to_json(F.array("k"))
+    pair = F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(":"), child)
+    lines = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("i", pair.alias("p"))))).alias("ps"))
+    return lines.select(F.concat(F.lit("{"), F.array_join("ps.p", ","), F.lit("}")).alias("value"))
+
+
 def _top_level_key(path: str) -> str:
     """The first key of a path such as ``$['data']['rows']``."""
-    return path[3 : path.index("']", 3)].replace("\\'", "'")
+    return path[3 : path.index(path[2] + "]", 3)]

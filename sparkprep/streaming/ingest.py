@@ -133,6 +133,22 @@ def join_samples(samples: DataFrame, targets: DataFrame, plans: DataFrame) -> Da
     )
 
 
+def newest_rows(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over everything present; the last row it gave for each key.
+
+    Windows that are still open at the end are in the result as they stand.
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    writer = stream.writeStream.foreachBatch(store_batches(out, lambda batch: batch)).outputMode("update")
+    writer = writer.option("checkpointLocation", scratch_path(spark, name + "-state")).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    stored = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(stored).parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch_id").alias("last"))
+    return last.select("last.*")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything present, into Parquet, and read the result."""
     spark = stream.sparkSession

@@ -56,8 +56,23 @@ def test_json_document_is_written_back_in_place(spark, tmp_path):
     J.write_json_document(found.table, str(tmp_path / "bare"))
     text = "".join(r["value"] for r in spark.read.text(str(tmp_path / "bare")).collect())
     assert json.loads(text) == document["rows"]
-    with pytest.raises(ValueError):
-        J.write_json_document(found.table, str(tmp_path / "no"), found, max_rows=1)
+    J.write_json_document(found.table, str(tmp_path / "parts"), found, max_rows=1)
+    lines = spark.read.text(str(tmp_path / "parts" / "records")).collect()
+    assert sorted((json.loads(r["value"]) for r in lines), key=str) == sorted(document["rows"], key=str)
+    rest = spark.read.text(str(tmp_path / "parts" / "envelopes")).collect()
+    assert [json.loads(r["value"]) for r in rest] == [{"first": {"k": 1}, "last": "é"}]
+
+
+def test_several_documents_keep_their_envelopes(spark, tmp_path):
+    for name, document in (("1", {"src": "one", "rows": [{"a": 1}, 7]}), ("2", {"src": "two", "n'k": [1], "rows": [{"a": 2}]}), ("3", "{broken")):
+        write(tmp_path, f"{name}.json", document if isinstance(document, str) else json.dumps(document))
+    write(tmp_path, "2.json", json.dumps({"src": "two", "rows": [{"a": 2}], "n'k": [1]}))
+    found = J.read_json_document(spark, str(tmp_path / "*.json"))
+    assert sorted(r["value"] for r in found.rejected.collect()) == ["7", "{broken"]
+    J.write_json_document(found.table, str(tmp_path / "out"), found)
+    rest = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out" / "envelopes")).collect()]
+    assert sorted(rest, key=str) == sorted([{"src": "one"}, {"src": "two", "n'k": [1]}], key=str)
+    assert spark.read.text(str(tmp_path / "out" / "records")).count() == 2
 
 
 def test_json_compat_marks_absent_keys(spark, tmp_path):
@@ -147,6 +162,12 @@ def test_two_holders_yield_only_to_more_than_both(spark):
     assert {r["u"] for r in match.match_columns(edges(spark, rows)).collect()} == {"c"}
 
 
+def test_matching_has_no_round_limit_and_takes_weight_zero(spark):
+    rows = [(f"u{i}", i, f"v{i}", 0.9) for i in range(1200)] + [("x", 1200, "y", 0.0), ("z", 1201, "y", 0.0)]
+    got = match._stable_pairs(edges(spark, rows).toPandas())
+    assert len(got) == 1202
+
+
 def test_matching_per_table_pair_and_leftovers(spark):
     df = edges(spark, [("a", 0, "t", 0.9)]).withColumn("pair", F.lit(1))
     df = df.unionByName(edges(spark, [("a", 0, "s", 0.8)]).withColumn("pair", F.lit(2)))
