@@ -41,7 +41,7 @@ UNDETERMINED = "und"
 EVIDENCE_WORDS = 8
 
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 
 @dataclass
@@ -76,8 +76,15 @@ class Predictor(dict):
     """A model in use: rows of its words, and of unseen words met so far."""
 
     def __init__(self, model: Model):
-        super().__init__(model.words)
+        super().__init__()
         self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the model's own words."""
+        model = self.model
+        self.clear()
+        self.update(model.words)
         self.rows = np.concatenate([model.word_rows, np.zeros((1024, len(model.languages)))])
 
     def __missing__(self, word: str) -> int:
@@ -95,7 +102,7 @@ class Predictor(dict):
         if not languages or not any(c.isalpha() for word in words for c in word):
             return UNDETERMINED, 0.0
         if len(self) > len(self.model.words) + CACHED_WORDS:
-            self.__init__(self.model)
+            self.forget()
         counts = np.fromiter(words.values(), dtype=float, count=len(words))
         at = [self[word] for word in words]
         scores = counts @ self.rows[at] * (min(counts.sum(), EVIDENCE_WORDS) / counts.sum())

@@ -147,6 +147,17 @@ def test_backoff_goes_from_words_to_shorter_pieces(spark):
     assert model.predict("²³") == ("und", 0.0)
 
 
+def test_words_met_are_forgotten_in_time(spark, monkeypatch):
+    docs = data.documents(spark).where("doc_id < 60")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.collect()] + [f"grouse{i} laus{i} unsound" for i in range(40)]
+    want = [model.predict(t) for t in texts]
+    use = langid.Predictor(model)
+    assert [use.predict(t) for t in texts] == want
+    monkeypatch.setattr(langid, "CACHED_WORDS", 2)
+    assert [use.predict(t) for t in texts] == want
+
+
 def test_language_without_labels(spark):
     model = langid.fit(data.empty(spark))
     got = langid.predict(data.documents(spark), model).select("lang_pred").distinct().collect()
