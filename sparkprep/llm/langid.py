@@ -6,8 +6,10 @@ either side). A known word scores by its own frequency in each language; an
 unseen word is scored by its longest n-grams that are known, falling back one
 character at a time. A text's score in a language is the mean over its words.
 
-The classifier is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled
-documents of each language, those with the smallest hash of id and text, and it
+The classifier is fitted on a bounded sample: about ``SAMPLE_ROWS`` labelled
+documents of each language, all if it has no more, chosen by a hash of id and text
+where they are read, so that no text is shuffled for it; equal rows are chosen
+together. The model
 keeps at most ``MODEL_WORDS`` words and ``MODEL_GRAMS`` n-grams a language and
 length, the most frequent. The tables so bounded are broadcast. Every document is
 scored over its whole text.
@@ -131,9 +133,13 @@ def _log_shares(rows: list, languages: list[str]) -> tuple[dict[str, int], np.nd
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from ``doc_id, text, lang`` rows; rows without text or label are left out."""
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    rows = rows.withColumn("order", F.xxhash64("doc_id", "text"))
-    first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    sample = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_rows).select("text", "lang")
+    # one row per language; the share of its documents to be sampled
+    shares = {r.lang: min(1.0, sample_rows / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not shares:
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
+    sample = rows.where(place < share).select("text", "lang")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
