@@ -99,7 +99,7 @@ def responses(pages: DataFrame, key: str = "page_id", address: str = "url", body
 
 
 def http_head(headers: dict[str, str]) -> str:
-    return "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n"
+    return "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in sorted(headers.items())) + "\r\n"
 
 
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
