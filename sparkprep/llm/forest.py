@@ -44,7 +44,7 @@ from sparkprep.session import materialise
 TREES = 8
 LEAF_ROWS = 128
 SAMPLE_VALUES = 8_000_000
-BUDGET, GROWTH = 3.2, 0.85
+BUDGET, GROWTH = 4.4, 0.85
 GROUP_ROWS = 8192
 
 
