@@ -39,7 +39,7 @@ def op4_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return order_minhash.classes(table(spark, folder, "documents")).select("doc_id", "class_id")
+    return order_minhash.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "class_key")
 
 
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -92,6 +92,17 @@ def test_dedup_keeps_one_of_each_class(spark):
     assert order_minhash.classes(data.empty(spark)).count() == 0
 
 
+def test_dedup_of_null_and_repeated_ids(spark):
+    """Different texts stay, whatever their ids; copies of one text are one row, with an id if any has one."""
+    a, b, c, d = (data.prose(random.Random(i), "en", 40) for i in range(4))
+    rows = [(None, a), (None, b), (7, c), (7, d), (None, a), (None, c), (None, "x y"), (None, "v w"), (None, ""), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in order_minhash.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (7, c), (7, d), (None, "x y"), (None, "v w"), (None, ""), (None, None), (3, "")], key=str)
+    found = order_minhash.classes(docs).collect()
+    assert len(found) == len(rows) and len({r.class_key for r in found}) == 9
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
