@@ -72,6 +72,32 @@ def test_classes_equal_brute_force(spark):
     assert found == {i: root(i) for i in range(len(texts))}
 
 
+def test_scattered_changes_and_short_texts_meet(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        own = list(words)
+        for at in rng.sample(range(200), 40):
+            own[at] = f"n{rng.randrange(10**6)}"
+        pairs.append((words, own))
+    for n in range(5, 20):
+        words = [f"s{n}x{i}" for i in range(n)]
+        edits = int(0.2 * n)
+        own = [f"t{n}" if (i + 1) % (n // (edits + 1) + 1) == 0 else w for i, w in enumerate(words)]
+        pairs.append((words, own))
+        # one word more in the middle, where the rule allows it
+        words = [f"u{n}x{i}" for i in range(n)]
+        pairs.append((words, [*words[: n // 2], f"v{n}", *words[n // 2 :]]))
+    want = sum(order_minhash.similar(a, b) for a, b in pairs)
+    assert want >= 60 + 15
+    rows = [(2 * i + k, " ".join(text)) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    found = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = [found[2 * i] == found[2 * i + 1] for i in range(len(pairs))]
+    assert sum(met[:60]) >= 58
+    assert met[60:] == [order_minhash.similar(a, b) for a, b in pairs[60:]]
+
+
 def test_order_matters():
     """The same runs in another order make other sketches, though the sets are nearly equal."""
     rng = random.Random(2)
