@@ -164,6 +164,41 @@ def test_network_learns_findings(spark):
     assert charnet.find(docs, net).orderBy("doc_id").collect() == charnet.find(docs.repartition(5), charnet.fit(docs)).orderBy("doc_id").collect()
 
 
+def test_threshold_keeps_the_recall():
+    """Findings that score low lower the threshold, whatever that costs in precision."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 16)) for _ in range(400)]
+    x = np.concatenate([charnet.windows("say " + w, [(4, 20)]) for w in words])
+    net = charnet.train(x, rng.integers(0, 2, 400).astype(float))
+    assert net.recall >= charnet.RECALL and net.threshold < 0.9
+    assert 0.2 < net.precision < 0.9
+
+
+def test_whole_candidates_are_judged():
+    class Found:
+        threshold = 0.5
+
+        def chance(self, x):
+            return np.ones(len(x))
+
+    key = "sk_live_XX0123456789abcdefYY"
+    assert charnet.redact(f"key {key} end", Found()) == "key [SECRET] end"
+    assert charnet.redact("the QWxhZGRpbjpvcGVuIHNlc2FtZQ end", Found()) == "the [SECRET] end"
+    assert charnet.redact("the AbCdEfGhIjKlMnOp end", Found()) == "the [SECRET] end"
+    net = charnet.train(np.concatenate([charnet.windows("a " * 9 + v, [(18, 18 + len(v))]) for v in ["abcdefghijkl", "0123456789AB"] * 20]), np.array([0.0, 1.0] * 20))
+
+    def score(text, end=None):
+        return net.raw(charnet.windows(text, [(0, end or len(text))]))[0]
+
+    # what stands far behind a candidate's start counts, and so does the text after it
+    for n in (50, 3000, 4 * charnet.SEGMENT + 7):
+        assert score("a" * n + "0123456789AB") > score("a" * (n + 12)) + 0.1
+        assert score("a" * n + ' "0123456789AB"', n) != score("a" * n + " in the end", n)
+    # segments change nothing
+    x = charnet.windows("ab1" * 2000 + " = x", [(0, 6000)])
+    assert net.raw(x)[0] == pytest.approx(net._forward(x)[3][0])
+
+
 def test_no_findings_no_network(spark):
     clean = spark.createDataFrame([(1, "plain words only"), (2, None)], "doc_id long, text string")
     assert charnet.fit(clean) is None
