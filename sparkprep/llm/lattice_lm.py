@@ -21,6 +21,9 @@ than 1. (The add-one base gives every unseen word the share of a known one and s
 sums to more than 1; on small corpora with many unseen words it can exceed the
 model for that reason.)
 
+``lattice_score`` is the pure lattice marginal beside it: the product of L over the
+document's words and its end, without word counts and without a Dirichlet factor.
+
 Nothing whole passes through one task: texts are cut into blocks of bounded size,
 a block's distinct words are counted together over all blocks by word, and come
 back to the block as numbers, never as text. Only piece weights (bounded by the
@@ -218,7 +221,7 @@ def document_score(log_p: np.ndarray, n: np.ndarray, concentration: float) -> fl
 
 
 def score(docs: DataFrame, held_out: Column, model: bytes, block_chars: int = BLOCK_CHARS, concentration: float = CONCENTRATION) -> DataFrame:
-    """Log10 probability of every document under the unigram base and under the lattice model.
+    """Log10 probability of every document under the unigram base, the model and the lattice alone.
 
     ``held_out`` marks the documents that are scored but not learned from; ``model``
     is the contents of a sentencepiece vocabulary file.
@@ -253,15 +256,16 @@ def score(docs: DataFrame, held_out: Column, model: bytes, block_chars: int = BL
         base = np.log10((c + 1.0) / (total + kinds + 1.0))
         log_p = _mixed(c, l, total, kinds)
         end_base = math.log10((ends + 1.0) / (total + kinds + 1.0))
-        end_mixed = float(_mixed(np.array([float(ends)]), np.array([lattice(shared.value, weights.value, spelled).stop]), total, kinds)[0]) / LN10
+        stop = lattice(shared.value, weights.value, spelled).stop
+        end_mixed = float(_mixed(np.array([float(ends)]), np.array([stop]), total, kinds)[0]) / LN10
         out = []
         for packed in frame["packed"]:
             i, n = _unpacked(packed)
-            out.append((int(n.sum()) + 1, int(n[c[i] > 0].sum()) + (ends > 0), float(base[i] @ n) + end_base, document_score(log_p[i], n, concentration) + end_mixed))
-        n_tokens, n_known, base_score, scores = zip(*out) if out else ((), (), (), ())
-        return pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": total, "base_score": base_score, "score": scores})
+            out.append((int(n.sum()) + 1, int(n[c[i] > 0].sum()) + (ends > 0), float(base[i] @ n) + end_base, document_score(log_p[i], n, concentration) + end_mixed, (float(l[i] @ n) + stop) / LN10))
+        n_tokens, n_known, base_score, scores, pure = zip(*out) if out else ((), (), (), (), ())
+        return pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "n_tokens": n_tokens, "n_known": n_known, "train_tokens": total, "base_score": base_score, "score": scores, "lattice_score": pure})
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     return rows.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(score_block, schema)
 
 

@@ -130,6 +130,14 @@ def test_unseen_everything(spark):
     assert rows[0].score < rows[1].score < 0
 
 
+def test_lattice_score_is_the_product_over_all_words(spark):
+    docs = spark.createDataFrame([(1, "the cat the"), (2, None)], "doc_id long, text string")
+    model = lattice_lm.Lattice(PIECES, np.zeros(lattice_lm.processor(PIECES).get_piece_size()), 0.0)
+    got = {r.doc_id: r.lattice_score for r in lattice_lm.score(docs, F.lit(True), PIECES).collect()}
+    want = 2 * brute_lattice(model, "the") + brute_lattice(model, "cat") + model.stop
+    assert got == {1: pytest.approx(want / math.log(10)), 2: pytest.approx(model.stop / math.log(10))}
+
+
 def rule_spans(text):
     """The rules word for word: find all, then drop what is too short."""
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
