@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import bpe, charnet, forest, langid, lattice_lm, mixing, order_minhash, resampling, spotsigs, warc
+from sparkprep.llm import (
+    bpe,
+    charnet,
+    chat_events,
+    forest,
+    langid,
+    lattice_lm,
+    mixing,
+    order_minhash,
+    prefix_trie,
+    resampling,
+    spotsigs,
+    sql,
+    structure_repair,
+    warc,
+)
 from sparkprep.llm.common import held_out, table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -71,6 +86,35 @@ def op10_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return derived.select(*facts, *source, "n_links", F.char_length("content").cast("long").alias("n_chars"))
 
 
+PLANTED = [(-7, turn, role, r"\### Assistant: </turn> ok", f"planted:{turn}") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op11_chat_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, logged as events, folded, rendered and read back; one more says the template's own marks."""
+    rows = table(spark, folder, "conversations")
+    row = F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias("row")
+    rows = rows.select("conv_id", "turn", "role", "text", row)
+    rows = rows.union(spark.createDataFrame(PLANTED, rows.schema))
+    return chat_events.read_back(chat_events.format_log(chat_events.as_log(rows)))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of conversations that begin with turns of the first of five neighbouring ids."""
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    turns = prefix_trie.turns_of(table(spark, folder, "conversations"))
+    nodes = prefix_trie.trie(*prefix_trie.rebuilt(turns, shared, F.expr("conv_id - conv_id % 5"), 8))
+    return nodes.drop("k1", "k2")
+
+
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation after damage: its faults and its cheapest repair."""
+    rows = table(spark, folder, "conversations").where("conv_id is not null")
+    found = structure_repair.summary(structure_repair.repair(structure_repair.damaged(rows)))
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in found.columns if c not in ("conv_id", "audit", "repaired_sha256")}
+    nothing = {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    return rows.select("conv_id").distinct().join(found, "conv_id", "left").withColumns(counts | nothing)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,7 +128,14 @@ QUERIES = {
         op8_secret_scan,
         op9_spotsigs,
         op10_warc_derivatives,
+        op11_chat_events,
+        op12_prefix_trie,
+        op13_structure_repair,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_chat_events": sql.CHAT_EVENTS,
+    "op12_prefix_trie": sql.PREFIX_TRIE,
+    "op13_structure_repair": sql.STRUCTURE_REPAIR,
+}
