@@ -11,10 +11,12 @@ Each conversation passes once, in order, through a Viterbi search over four stat
 state is a leaf of a tree of backpointers whose nodes count their references: a path
 that no state continues is freed at once, and when all survivors share an ancestor,
 the edits up to it are settled and leave the task. Only the unresolved tails are
-held, and ties are decided by comparing those tails whole: what the paths share is
-already out. A state that can no longer win, because another one can imitate whatever
-it does at a lower total, is given up, so that deleting everything so far is not kept
-alive as a possibility for ever.
+held. Ties are decided by the tails as a whole; every pair of survivors carries how
+its strings compare, so that no tail is read again. A state that can no longer win,
+because another one can imitate whatever it does at a lower total, is given up, so
+that deleting everything so far is not kept alive as a possibility for ever. Where
+the first edits truly hang on the last row (of user rows alone, an odd number wants
+its one inserted turn first, an even number none), the tail is the whole conversation.
 
 Defined results: a null role or text is one space; null turns come first; rows of one
 turn follow their role, then their text; other roles' initials match nothing, so
@@ -73,16 +75,15 @@ Edit = tuple[str, str, str]  # edit initial, role, text; a deleted row's role an
 class _Node:
     """One edit of a path; ``held`` counts the paths and survivors that go on from here."""
 
-    __slots__ = ("before", "depth", "edit", "held")
+    __slots__ = ("before", "edit", "held")
 
     def __init__(self, before: _Node | None, edit: Edit | None) -> None:
         self.before, self.edit, self.held = before, edit, 0
-        self.depth = 0 if before is None else before.depth + 1
         if before is not None:
             before.held += 1
 
 
-_Path = tuple[int, _Node, tuple[Edit, ...]]  # cost, last node, edits after it
+_Path = tuple[int, int, tuple[Edit, ...]]  # cost, survivor that it goes on from, edits after it
 
 
 def _release(node: _Node | None) -> None:
@@ -93,17 +94,26 @@ def _release(node: _Node | None) -> None:
         freed.before = None
 
 
-def _tails(a: _Node, b: _Node) -> tuple[str, str]:
-    """The edits of two paths after their last common node."""
-    left, right = [], []
-    while a is not b:
-        if a.depth >= b.depth:
-            left.append(a.edit[0])
-            a = a.before
-        else:
-            right.append(b.edit[0])
-            b = b.before
-    return "".join(reversed(left)), "".join(reversed(right))
+# How the edit strings of two paths compare: -1 or 1 once they differ; while one still begins
+# with the other, 0 and what each has beyond the common part.
+_Order = tuple[int, str, str]
+
+
+def _compared(so_far: _Order, left: str, right: str) -> _Order:
+    """The comparison after both paths went on."""
+    sign, a, b = so_far
+    if sign:
+        return so_far
+    a, b = a + left, b + right
+    common = 0
+    while common < min(len(a), len(b)) and a[common] == b[common]:
+        common += 1
+    a, b = a[common:], b[common:]
+    return ((-1 if a < b else 1), "", "") if a and b else (0, a, b)
+
+
+def _letters(edits: tuple[Edit, ...]) -> str:
+    return "".join(e[0] for e in edits)
 
 
 class Viterbi:
@@ -111,21 +121,24 @@ class Viterbi:
 
     def __init__(self) -> None:
         self.root = _Node(None, None)
-        self.best: dict[int, tuple[int, _Node]] = {}
-        self._survive({NOTHING: (0, self.root, ())})
+        self.root.held = 1
+        self.best: dict[int, tuple[int, _Node]] = {NOTHING: (0, self.root)}
+        # every pair of survivors, compared by their whole edit strings
+        self.order: dict[tuple[int, int], _Order] = {(NOTHING, NOTHING): (0, "", "")}
+        self._survive({NOTHING: (0, NOTHING, ())})
 
     def push(self, role: str, text: str, fault: str | None) -> Iterator[Edit]:
         paths: dict[int, _Path] = {}
         late = CUT_SHORT if fault == TRUNCATED else 0
-        for state, (cost, node) in self.best.items():
-            self._offer(paths, state, cost + DELETED, node, ((DELETE, role, text),))
+        for state, (cost, _) in self.best.items():
+            self._offer(paths, state, cost + DELETED, state, ((DELETE, role, text),))
             if fault in (BLANK, DUPLICATE):
                 continue
             made, to = MADE[state]
-            self._offer(paths, to, cost + RENAMED + late, node, ((REROLE, made, text),))
+            self._offer(paths, to, cost + RENAMED + late, state, ((REROLE, made, text),))
             kept = KEPT.get((state, role[:1]))
             if kept is not None:
-                self._offer(paths, kept, cost + late, node, ((KEEP, role, text),))
+                self._offer(paths, kept, cost + late, state, ((KEEP, role, text),))
         self._survive(paths)
         return self._settled()
 
@@ -134,42 +147,44 @@ class Viterbi:
         last: dict[int, _Path] = {}
         for state in ENDS:
             if state in self.best:
-                self._offer(last, NOTHING, *self.best[state], ())
-        cost, node, _ = last[NOTHING]
-        return cost, (n.edit for n in self._path(node))
+                self._offer(last, NOTHING, self.best[state][0], state, ())
+        cost, state, _ = last[NOTHING]
+        return cost, (n.edit for n in self._path(self.best[state][1]))
 
-    @staticmethod
-    def _offer(paths: dict[int, _Path], state: int, cost: int, node: _Node, edits: tuple[Edit, ...]) -> None:
+    def _offer(self, paths: dict[int, _Path], state: int, cost: int, origin: int, edits: tuple[Edit, ...]) -> None:
         """Take a path into a state if it is cheaper than the one there, or as cheap and first in order."""
         there = paths.get(state)
         if there is not None:
             if cost > there[0]:
                 return
             if cost == there[0]:
-                mine, other = _tails(node, there[1])
-                if mine + "".join(e[0] for e in edits) >= other + "".join(e[0] for e in there[2]):
+                sign, mine, _ = _compared(self.order[origin, there[1]], _letters(edits), _letters(there[2]))
+                if sign > 0 or (sign == 0 and mine):
                     return
-        paths[state] = (cost, node, edits)
+        paths[state] = (cost, origin, edits)
 
     def _survive(self, paths: dict[int, _Path]) -> None:
         """The paths, and those with turns inserted after them, become the survivors; states that cannot win go."""
         for _ in range(2):  # a third inserted turn never pays
-            for state, (cost, node, edits) in list(paths.items()):
+            for state, (cost, origin, edits) in list(paths.items()):
                 made, to = MADE[state]
-                self._offer(paths, to, cost + INSERTED, node, edits + ((INSERT, made, ""),))
+                self._offer(paths, to, cost + INSERTED, origin, edits + ((INSERT, made, ""),))
         costs = {state: path[0] for state, path in paths.items()}
+        paths = {s: p for s, p in paths.items() if all(c + IMITATES[other][s] >= p[0] for other, c in costs.items())}
+        order = {
+            (a, b): _compared(self.order[p[1], q[1]], _letters(p[2]), _letters(q[2])) for a, p in paths.items() for b, q in paths.items()
+        }
         best, shared = {}, {}
-        for state, (cost, node, edits) in paths.items():
-            if any(c + IMITATES[other][state] < cost for other, c in costs.items()):
-                continue
-            for i, edit in enumerate(edits):
-                key = (id(paths[state][1]), "".join(e[0] for e in edits[: i + 1]))
-                if key not in shared:
-                    shared[key] = _Node(node, edit)
-                node = shared[key]
+        for state, (cost, origin, edits) in paths.items():
+            node, letters = self.best[origin][1], ""
+            for edit in edits:
+                letters += edit[0]
+                if (origin, letters) not in shared:
+                    shared[origin, letters] = _Node(node, edit)
+                node = shared[origin, letters]
             node.held += 1
             best[state] = (cost, node)
-        old, self.best = self.best, best
+        old, self.best, self.order = self.best, best, order
         for _, node in old.values():
             node.held -= 1
             _release(node)
