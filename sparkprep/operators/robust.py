@@ -23,7 +23,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.functions.cells import MAD_THRESHOLD, quoted, to_number
@@ -33,6 +33,10 @@ GATHER_LIMIT = 200_000
 # Cells (rows x columns) up to which Spark's own median is the cheaper job.
 SMALL_CELLS = 200_000
 SKETCH_ACCURACY = 10_000
+# Cells up to which the medians of many groups are one exact aggregate.
+GROUPED_CELLS = 4_000_000
+# Steps of the quantile grid that many groups share.
+GRID = 200
 
 
 @dataclass(frozen=True)
@@ -94,7 +98,7 @@ def _sample_size(n: int) -> int:
     return min(max(n // 100, 20_000), 10_000_000)
 
 
-def _sql(x: float) -> str:
+def sql_double(x: float) -> str:
     """A double as SQL text, exactly."""
     return f"double('{x!r}')"
 
@@ -106,7 +110,7 @@ def _propose(
     share = {c: min(1.0, _sample_size(b.within) / max(b.within, 1)) for c, b in state.items()}
     taken, quantiles = {}, {}
     for c, b in state.items():
-        taken[c] = f"({values[c]} between {_sql(b.lo)} and {_sql(b.hi)} and draw < {share[c]!r}D)"
+        taken[c] = f"({values[c]} between {sql_double(b.lo)} and {sql_double(b.hi)} and draw < {share[c]!r}D)"
         m = max(b.within - 1, 1)
         # Four standard errors of a sampled rank (none if every cell is taken),
         # the sketch's own error and one rank; wider after a miss.
@@ -133,7 +137,7 @@ def _count(df: DataFrame, values: Mapping[str, str], ranges: Mapping[str, tuple]
     """Exact number of cells below, on the edges of, and inside each range."""
     aggs = []
     for i, (c, ends) in enumerate(ranges.items()):
-        v, lo, hi = values[c], _sql(ends[0]), _sql(ends[1])
+        v, lo, hi = values[c], sql_double(ends[0]), sql_double(ends[1])
         aggs += [
             f"count_if({v} < {lo}) as below{i}",
             f"count_if({v} = {lo}) as lo{i}",
@@ -152,7 +156,7 @@ def _read_ranks(df: DataFrame, values: Mapping[str, str], state: Mapping[str, _B
         inside, gathered, picks = [], [], []
         for i, c in enumerate(names):
             b = state[c]
-            inside.append(f"({values[c]} > {_sql(b.lo)} and {values[c]} < {_sql(b.hi)})")
+            inside.append(f"({values[c]} > {sql_double(b.lo)} and {values[c]} < {sql_double(b.hi)})")
             gathered.append(f"array_sort(collect_list(case when {inside[i]} then {values[c]} end)) as mid{i}")
             for j, rank in enumerate(b.ranks):
                 picks.append(f"try_element_at(mid{i}, {max(rank - b.below - b.on_lo + 1, 1)}) as pick{i}_{j}")
@@ -195,6 +199,94 @@ def medians(
     return out
 
 
+def _ranges(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """Numbers per group (as many rows as groups), to be broadcast."""
+    return F.broadcast(spark.createDataFrame(rows, "g int, lo double, hi double, share double"))
+
+
+def _grouped_medians(cells: DataFrame, counts: Mapping[int, int], small_cells: int, gather_limit: int) -> dict[int, float]:
+    """Exact median of ``x`` per group ``g``, the brackets of all groups narrowed together."""
+    if sum(counts.values()) <= small_cells:
+        return {r["g"]: r["m"] for r in cells.groupBy("g").agg(F.expr("median(x)").alias("m")).collect()}
+    spark, out = cells.sparkSession, {}
+    state = {g: _Bracket(n, between=n) for g, n in counts.items()}
+    grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    draw, gather_limit = 0, max(gather_limit, 100)
+    while state:
+        draw += 1
+        share = {g: min(1.0, _sample_size(b.within) / max(b.within, 1)) for g, b in state.items()}
+        inside = cells.join(_ranges(spark, [(g, b.lo, b.hi, share[g]) for g, b in state.items()]), "g")
+        drawn = inside.where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")) & (F.rand(draw) < F.col("share")))
+        found = {r["g"]: r["q"] for r in drawn.groupBy("g").agg(F.percentile_approx("x", grid, SKETCH_ACCURACY).alias("q")).collect()}
+        proposed = {}
+        for g, b in state.items():
+            if g not in found:
+                proposed[g] = (b.lo, b.hi)
+                continue
+            m = max(b.within - 1, 1)
+            sampling = 2.0 / math.sqrt(b.within * share[g]) if share[g] < 1 else 0.0
+            slack = (1 + b.misses) * (sampling + 2.0 / SKETCH_ACCURACY + 1.0 / m)
+            low, high = (b.ranks[0] - b.below) / m - slack, (b.ranks[1] - b.below) / m + slack
+            at_low, at_high = math.floor(low * GRID), math.ceil(high * GRID)
+            # the ends of the range stand where the sample does not reach
+            proposed[g] = (found[g][at_low] if at_low > 0 else b.lo, found[g][at_high] if at_high < GRID else b.hi)
+        counted = cells.join(_ranges(spark, [(g, *ends, 0.0) for g, ends in proposed.items()]), "g").groupBy("g")
+        tallies = counted.agg(
+            F.count_if(F.col("x") < F.col("lo")).alias("below"),
+            F.count_if(F.col("x") == F.col("lo")).alias("on_lo"),
+            F.count_if((F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi"))).alias("between"),
+            F.count_if((F.col("x") == F.col("hi")) & (F.col("lo") != F.col("hi"))).alias("on_hi"),
+        )
+        for r in tallies.collect():
+            g = r["g"]
+            bracket = _Bracket(counts[g], *proposed[g], r["below"], r["on_lo"], r["between"], r["on_hi"])
+            if bracket.covers_ranks():
+                state[g] = bracket
+            else:
+                state[g].misses += 1
+        ready = {g: b for g, b in state.items() if b.between <= gather_limit}
+        out.update(_read_groups(cells, ready))
+        state = {g: b for g, b in state.items() if g not in ready}
+    return out
+
+
+def _read_groups(cells: DataFrame, state: Mapping[int, _Bracket]) -> dict[int, float]:
+    found = {g: [b.edge_value(r) for r in b.ranks] for g, b in state.items()}
+    wanted = [g for g in state if None in found[g]]
+    if wanted:
+        ranges = [(g, state[g].lo, state[g].hi, 0.0) for g in wanted]
+        places = [(g, *[max(r - state[g].below - state[g].on_lo + 1, 1) for r in state[g].ranks]) for g in wanted]
+        near = cells.join(_ranges(cells.sparkSession, ranges), "g").where((F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi")))
+        few = near.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("mid"))
+        few = few.join(F.broadcast(cells.sparkSession.createDataFrame(places, "g int, i int, j int")), "g")
+        for r in few.selectExpr("g", "try_element_at(mid, i) as low", "try_element_at(mid, j) as high").collect():
+            picks = (r["low"], r["high"])
+            found[r["g"]] = [pick if v is None else v for v, pick in zip(found[r["g"]], picks)]
+    return {g: (low + high) / 2 for g, (low, high) in found.items()}
+
+
+def grouped_stats(
+    cells: DataFrame, at_most: int | None = None, small_cells: int = GROUPED_CELLS, gather_limit: int = GATHER_LIMIT // 4
+) -> dict[int, ColumnStats]:
+    """Median and MAD of ``x`` (finite doubles) for every group ``g`` (a small number of integers).
+
+    All groups share every pass, whatever their number: a pass is one aggregate by
+    group, combined before the shuffle, beside a broadcast row of numbers a group.
+    ``at_most`` bounds the number of cells, where the caller knows one.
+    """
+    few = at_most is not None and at_most <= small_cells
+    once = [F.expr("median(x)").alias("m")] if few else []
+    found = cells.groupBy("g").agg(F.count("x").alias("n"), *once).collect()
+    counts = {r["g"]: r["n"] for r in found}
+    centre = {r["g"]: r["m"] for r in found} if few else _grouped_medians(cells, counts, small_cells, gather_limit)
+    if not centre:
+        return {}
+    ranges = _ranges(cells.sparkSession, [(g, m, m, 0.0) for g, m in centre.items()])
+    spread = cells.join(ranges, "g").select("g", F.abs(F.col("x") - F.col("lo")).alias("x"))
+    mads = _grouped_medians(spread, counts, small_cells, gather_limit)
+    return {g: ColumnStats(counts[g], centre[g], mads[g]) for g in counts}
+
+
 def outlier_stats(
     df: DataFrame,
     columns: Sequence[str],
@@ -214,6 +306,6 @@ def outlier_stats(
     row = narrow.selectExpr(*[f"count({x}) as n{i}" for i, x in enumerate(cells.values())]).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
     centre = medians(narrow, cells, counts, small_cells, gather_limit)
-    spread = {c: f"abs({cells[c]} - {_sql(m)})" for c, m in centre.items() if m is not None}
+    spread = {c: f"abs({cells[c]} - {sql_double(m)})" for c, m in centre.items() if m is not None}
     mads = medians(narrow, spread, counts, small_cells, gather_limit)
     return {c: ColumnStats(counts[c], centre[c], mads.get(c)) for c in columns}

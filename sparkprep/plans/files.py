@@ -18,7 +18,7 @@ def prepare_file(
     source: str,
     target: str,
     mapping: Sequence[Rule],
-    sample_keys: Sequence[str],
+    sample_keys: Sequence[str] = (),
     standardise: Callable[[DataFrame], DataFrame] | None = None,
     encoding: str = "UTF-8",
     multi_line: bool = False,
