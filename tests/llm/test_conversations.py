@@ -359,12 +359,12 @@ def test_op13_against_brute_force(spark, folder, nothing):
 
 
 def test_edits_tell_what_became_of_every_row(spark):
-    rows = [(1, 0, "user", "Hi."), (1, 1, "user", "Hi."), (1, 2, "tool", "so"), (1, 3, "user", "And?")]
+    rows = [(1, 0, "user", "Hi."), (1, 1, "user", "Hi."), (1, 2, "tool", "so."), (1, 3, "user", "And?")]
     edits = structure_repair.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("place").collect()
     assert [(e["edit"], e["turn"], e["fault"], e["was"], e["role"], e["text"]) for e in edits] == [
         ("K", 0, None, "user", "user", "Hi."),
         ("D", 1, "duplicate", "user", None, None),
-        ("R", 2, "truncated", "tool", "assistant", "so"),
+        ("R", 2, None, "tool", "assistant", "so."),
         ("K", 3, None, "user", "user", "And?"),
         ("I", None, None, None, "assistant", ""),
     ]
