@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions import scalars as S
-from sparkprep.functions.cells import comparable, is_missing, quoted
+from sparkprep.functions.cells import ABSENT, NOT_AVAILABLE, comparable, is_missing, quoted
 from sparkprep.session import materialise
 
 # Fixed values of the matcher.
@@ -79,7 +79,7 @@ def ranked(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order))
 
 
-def _long_values(df: DataFrame, columns: Mapping[str, Column], name: str) -> DataFrame:
+def long_values(df: DataFrame, columns: Mapping[str, Column], name: str) -> DataFrame:
     """Distinct (column, value) pairs of several expressions.
 
     Pairs are combined on the map side, so a frequent value costs one record per
@@ -89,7 +89,8 @@ def _long_values(df: DataFrame, columns: Mapping[str, Column], name: str) -> Dat
     return df.select(cells.alias("cell")).select("cell.*").filter("value is not null").distinct()
 
 
-def _values(df: DataFrame) -> dict[str, Column]:
+def column_values(df: DataFrame) -> dict[str, Column]:
+    """The filled cells of every column as text."""
     out = {}
     for f in df.schema.fields:
         c = quoted(f.name)
@@ -109,9 +110,9 @@ def value_containment(
     not appear. Source cells that match no target value are dropped before the
     shuffle if the target's values, measured first, are small enough to broadcast.
     """
-    wanted = materialise(_long_values(target, _values(target), "v"), "target-values")
+    wanted = materialise(long_values(target, column_values(target), "v"), "target-values")
     totals = wanted.groupBy("v").agg(F.count(F.lit(1)).alias("n_target"))
-    columns = source_columns or _values(source)
+    columns = source_columns or column_values(source)
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("u"), c.alias("value")) for n, c in columns.items()]))
     found = source.select(cells.alias("cell")).select("cell.*").filter("value is not null")
     # Stored values with some overhead per row.
@@ -199,28 +200,36 @@ def unmatched(source: DataFrame, target: DataFrame, matches: DataFrame, by: Sequ
     )
 
 
-def candidate_expressions(df: DataFrame) -> dict[str, Column]:
+def _day(c: Column) -> Column:
+    # Text that is no date is told apart first: a failing parse is costly.
+    return F.when(c.like("____-__-__%"), F.substring(c, 1, 10))
+
+
+# What may be done to a column's text, simplest first; names are used in proposals and run by ``apply_function``.
+VALUE_FUNCTIONS: dict[str, Callable[[Column], Column]] = {
+    "identity": lambda c: c,
+    "lower": F.lower,
+    "lower_trim": lambda c: F.lower(F.trim(c)),
+    "first_part": S.first_part,
+    "rest_part": S.rest_part,
+    "last_word": S.last_word,
+    "dashed": S.dashed,
+    "round_up_10": lambda c: S.round_up_to(c, 10).cast("string"),
+    "rounded_0": lambda c: F.round(S.number(c), 0).cast("bigint").cast("string"),
+    "day_month_year": lambda c: S.reformat_date(_day(c), "yyyy-MM-dd", "dd-MM-yyyy"),
+    "year_slash": lambda c: S.reformat_date(_day(c), "yyyy-MM-dd", "yyyy/MM/dd"),
+    "day_monthname_year": lambda c: S.reformat_date(_day(c), "yyyy-MM-dd", "dd-MMMM-yyyy"),
+}
+
+
+def apply_function(c: Column, name: str) -> Column:
+    """A proposed function run on a column's text; marker cells stay as they are."""
+    return F.when(c.isin(NOT_AVAILABLE, ABSENT), c).otherwise(VALUE_FUNCTIONS[name](c))
+
+
+def candidate_expressions(df: DataFrame, functions: Sequence[str] = tuple(VALUE_FUNCTIONS)) -> dict[str, Column]:
     """Catalogue functions applied to every column that can take them."""
-    out: dict[str, Column] = {}
-    for name, value in _values(df).items():
-        x = S.number(value)
-        # Text that is no date is told apart first: a failing parse is costly.
-        day = F.when(value.like("____-__-__%"), F.substring(value, 1, 10))
-        out |= {
-            f"identity({name})": value,
-            f"lower({name})": F.lower(value),
-            f"lower_trim({name})": F.lower(F.trim(value)),
-            f"first_part({name})": S.first_part(value),
-            f"rest_part({name})": S.rest_part(value),
-            f"last_word({name})": S.last_word(value),
-            f"dashed({name})": S.dashed(value),
-            f"round_up_10({name})": S.round_up_to(value, 10).cast("string"),
-            f"rounded_0({name})": F.round(x, 0).cast("bigint").cast("string"),
-            f"day_month_year({name})": S.reformat_date(day, "yyyy-MM-dd", "dd-MM-yyyy"),
-            f"year_slash({name})": S.reformat_date(day, "yyyy-MM-dd", "yyyy/MM/dd"),
-            f"day_monthname_year({name})": S.reformat_date(day, "yyyy-MM-dd", "dd-MMMM-yyyy"),
-        }
-    return out
+    return {f"{f}({name})": VALUE_FUNCTIONS[f](value) for name, value in column_values(df).items() for f in functions}
 
 
 def propose_expressions(source: DataFrame, target: DataFrame) -> DataFrame:

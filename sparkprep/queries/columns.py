@@ -8,6 +8,7 @@ from sparkprep.functions import scalars as S
 from sparkprep.operators import match as M
 from sparkprep.operators.restructure import Create, Drop, Merge, Rename, Split, apply_mapping, mapping_from_pairs
 from sparkprep.operators.table_functions import get_table_function, pandas_table_function, table_function
+from sparkprep.plans.run import prepare_from_example
 from sparkprep.queries.registry import query, table
 from sparkprep.session import rebalanced
 
@@ -257,13 +258,50 @@ def create_drop_lists(spark, folder):
     return M.unmatched(source, target, _evidence_matches(spark, folder))
 
 
+_DAY = "try_strptime(case when {0} like '____-__-__%' then substr({0}, 1, 10) end, '%Y-%m-%d')"
+_NUMBER = "try_cast({0} as double)"
+FUNCTION_SQL = {
+    "identity": "{0}",
+    "lower": "lower({0})",
+    "lower_trim": "lower(trim({0}))",
+    "first_part": "split_part({0}, ' ', 1)",
+    "rest_part": "case when instr({0}, ' ') > 0 then substr({0}, instr({0}, ' ') + 1) else '' end",
+    "last_word": "regexp_extract({0}, '[^ ]*$')",
+    "dashed": r"regexp_replace(trim({0}), '\s+', '-', 'g')",
+    "round_up_10": f"cast(cast(ceil({_NUMBER} / 10) as bigint) * 10 as varchar)",
+    "rounded_0": f"cast(cast(round({_NUMBER}, 0) as bigint) as varchar)",
+    "day_month_year": f"strftime({_DAY}, '%d-%m-%Y')",
+    "year_slash": f"strftime({_DAY}, '%Y/%m/%d')",
+    "day_monthname_year": f"strftime({_DAY}, '%d-%B-%Y')",
+}
+
+
+def _made_sql(rel: str, columns: list[str], functions: list[str]) -> str:
+    """Distinct values of every function of every column: (u, place, value)."""
+    parts = []
+    for c in columns:
+        for f in functions:
+            text = f"nullif(cast({c} as varchar), '')"
+            parts.append(f"select '{f}({c})' as u, {len(parts)} as place, {FUNCTION_SQL[f].format(text)} as value from {rel}")
+    return f"select distinct * from ({' union all '.join(parts)}) where value is not null"
+
+
+def _wanted_sql(rel: str, columns: list[str]) -> str:
+    """Distinct filled values of the target's columns: (v, value)."""
+    return " union ".join(f"select '{c}' as v, cast({c} as varchar) as value from {rel} where coalesce(cast({c} as varchar), '') <> ''" for c in columns)
+
+
 @query(
     "q46_infer_logic",
-    """with src as (select *, strftime(o_orderdate, '%d-%m-%Y') as d from orders),
-n as (select count(distinct o_custkey) as a, count(distinct lower(o_orderpriority)) as b, count(distinct d) as c from src)
-select 'client' as v, 'identity(o_custkey)' as expression, 1.0::double as containment from n where a > 0
-union all select 'priority', 'lower(o_orderpriority)', 1.0 from n where b > 0
-union all select 'placed_on', 'day_month_year(o_orderdate)', 1.0 from n where c > 0""",
+    f"""with src as (select o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate from orders),
+goal as (select o_custkey as client, lower(o_orderpriority) as priority,
+  strftime(strptime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%d-%m-%Y') as placed_on from src),
+made as ({_made_sql('src', ['o_custkey', 'o_orderpriority', 'o_orderdate'], list(FUNCTION_SQL))}),
+wanted as ({_wanted_sql('goal', ['client', 'priority', 'placed_on'])}),
+totals as (select v, count(*) as n from wanted group by v),
+scored as (select v, u, place, count(*) / cast(max(n) as double) as containment from made join wanted using (value) join totals using (v) group by v, u, place)
+select v, u as expression, round(containment, 6) as containment from scored
+qualify row_number() over (partition by v order by round(containment, 6) desc, place) = 1""",
 )
 def infer_logic(spark, folder):
     source = rebalanced(table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_orderdate"))
@@ -276,6 +314,75 @@ def infer_logic(spark, folder):
     return M.propose_expressions(source, target)
 
 
+_PARTS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_EXAMPLE = ["item", "finish", "thing", "label", "price", "stock"]
+_example_sql = """example as (select p_partkey as item, split_part(p_name, ' ', 1) as finish, split_part(p_name, ' ', 2) as thing,
+  lower(p_brand || '|' || p_type) as label, cast(round(p_retailprice, 0) as bigint) as price, cast(null as varchar) as stock from part)"""
+
+
+def _programs_sql() -> str:
+    """CTEs that end in ``taken``: every program scored over all values, then assigned best first."""
+    functions = list(FUNCTION_SQL)
+    pairs = []
+    for a in _PARTS:
+        for b in _PARTS:
+            for f in ("identity", "lower"):
+                if a != b:
+                    joined = f"concat(coalesce(cast({a} as varchar), ''), '|', coalesce(cast({b} as varchar), ''))"
+                    pairs.append(f"select '{a},{b}' as sources, '{f}' as f, {functions.index(f)} as place, {FUNCTION_SQL[f].format(joined)} as value from part")
+    singles = [
+        f"select '{c}' as sources, '{f}' as f, {functions.index(f)} as place, {FUNCTION_SQL[f].format(f'nullif(cast({c} as varchar), {chr(39) * 2})')} as value from part"
+        for c in _PARTS
+        for f in functions
+    ]
+    used = "(list_has_any(us, ss) or list_has_any(vs, ts))"
+    at = " ".join(f"when '{c}' then {i}" for i, c in enumerate(_PARTS))
+    return f"""{_example_sql},
+made as (select distinct * from ({' union all '.join(singles + pairs)}) where value is not null),
+wanted as ({_wanted_sql('example', _EXAMPLE)}),
+n_made as (select sources, f, count(*) as n_made from made group by all), n_wanted as (select v, count(*) as n_wanted from wanted group by v),
+common as (select v, sources, f, place, count(*) as n from made join wanted using (value) group by all),
+scored as (select v as targets, sources, f, place, round(cast(n as double) / n_wanted, 6) as containment,
+  round(cast(n as double) / (n_wanted + n_made - n), 6) as jaccard from common join n_made using (sources, f) join n_wanted using (v)),
+splits as (select a.targets || ',' || b.targets as targets, a.sources, 'split' as f, -1 as place,
+  least(a.containment, b.containment) as containment, least(a.jaccard, b.jaccard) as jaccard
+  from scored a join scored b on a.sources = b.sources and a.f = 'first_part' and b.f = 'rest_part' and a.targets <> b.targets),
+programs as (select *, string_split(sources, ',') as ss, string_split(targets, ',') as ts from (from scored union all from splits) where containment >= 0.5),
+numbered as (select *, row_number() over (order by containment desc, len(ts) desc, jaccard desc, place,
+  list_transform(ss, lambda c: case c {at} end), ts) as k from programs),
+walk as (select cast(0 as bigint) as k, cast([] as varchar[]) as us, cast([] as varchar[]) as vs, cast([] as bigint[]) as ks
+  union all select n.k, case when {used} then us else list_concat(us, ss) end, case when {used} then vs else list_concat(vs, ts) end,
+    case when {used} then ks else list_append(ks, n.k) end from walk join numbered n on n.k = walk.k + 1),
+last as (select ks from walk order by k desc limit 1),
+taken as (select * from numbered where list_contains((select ks from last), k))"""
+
+
+@query(
+    "q60_prepare_from_example",
+    f"""with recursive {_programs_sql()}
+select targets, sources, f as "function", containment, jaccard, containment as reached from taken
+union all select 'stock', '', 'create', null, null, null""",
+)
+def prepare_parts_from_example(spark, folder):
+    """Mapping and value logic found in an example, run on the source, and what share of the example the run reached."""
+    parts = table(spark, folder, "part")
+    words = [F.split_part("p_name", F.lit(" "), F.lit(i + 1)).alias(c) for i, c in enumerate(("finish", "thing"))]
+    example = parts.select(
+        F.col("p_partkey").alias("item"),
+        *words,
+        F.lower(F.concat_ws("|", "p_brand", "p_type")).alias("label"),
+        F.round("p_retailprice", 0).cast("bigint").alias("price"),
+        F.lit(None).cast("string").alias("stock"),
+    )
+    found = prepare_from_example(parts, example, steps=["missingValues/impute"])
+    made = M.value_containment(found.run.result.table, example).where("u = v").select(F.col("v"), F.col("containment").alias("reached"))
+    rows = [(",".join(p.targets), ",".join(p.sources), p.function, round(p.containment, 6), round(p.jaccard, 6)) for p in found.programs]
+    rows += [(t, "", "create", None, None) for r in found.rules if isinstance(r, Create) for t in r.targets]
+    programs = spark.createDataFrame(rows, "targets string, sources string, function string, containment double, jaccard double")
+    each = programs.select("*", F.explode(F.split("targets", ",")).alias("v")).join(made, "v", "left")
+    return each.groupBy("targets", "sources", "function", "containment", "jaccard").agg(F.min("reached").alias("reached"))
+
+
 @table_function("orders_in_thousands")
 def orders_in_thousands(df):
     return df.withColumn("thousands", F.col("o_totalprice") / 1000)
