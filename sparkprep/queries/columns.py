@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkprep.functions import scalars as S
 from sparkprep.operators import match as M
 from sparkprep.operators.restructure import Create, Drop, Merge, Rename, Split, apply_mapping, mapping_from_pairs
-from sparkprep.operators.table_functions import get_table_function, pandas_table_function, table_function
+from sparkprep.operators.table_functions import get_table_function, isolate, pandas_table_function, table_function
 from sparkprep.plans.run import prepare_from_example
 from sparkprep.queries.registry import query, table
 from sparkprep.session import rebalanced
@@ -402,3 +403,27 @@ def priority_number(part):
 def run_table_function(spark, folder):
     df = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     return df.transform(get_table_function("orders_in_thousands")).transform(get_table_function("priority_number"))
+
+
+@query(
+    "q61_isolated_failures",
+    """with tried as (select *, o_custkey % 97 as turn, cast(split_part(o_orderpriority, '-', 1) as bigint) as number from orders)
+select o_orderkey, number * 10 as urgency, null::bigint as record_key, null::varchar as error from tried where turn <> 0
+union all select null, null, o_orderkey, 'ValueError: customer without a turn' from tried where turn = 0""",
+)
+def isolated_failures(spark, folder):
+    """A user function over the orders: the rows it takes, and those it fails on with their error."""
+
+    def urgency(part):
+        if (part["o_custkey"] % 97 == 0).any():
+            raise ValueError("customer without a turn")
+        number = part["o_orderpriority"].str.split("-").str[0].astype("int64")
+        return part.assign(urgency=number * 10)[["o_orderkey", "urgency"]]
+
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("urgency", T.LongType())])
+    done = isolate(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), urgency, schema)
+    none = F.lit(None)
+    good = done.good.select("*", none.cast("long").alias("record_key"), none.cast("string").alias("error"))
+    key = F.get_json_object("record", "$.o_orderkey").cast("long").alias("record_key")
+    failed = done.failed.select(none.cast("long").alias("o_orderkey"), none.cast("long").alias("urgency"), key, "error")
+    return good.unionByName(failed)

@@ -185,3 +185,25 @@ def test_containment_both_ways_agree(spark):
     large = {tuple(r) for r in match.value_containment(source, target, broadcast_bytes=0).collect()}
     assert small == large
     assert {r[:2] + (r[4],) for r in small} >= {("a", "x", 0.833333), ("b", "y", 0.777778), ("c", "z", 1.0)}
+
+
+def test_failing_rows_are_set_aside(spark):
+    from pyspark.sql import types as T
+
+    from sparkprep.operators.table_functions import isolate
+
+    def halved(part):
+        if (part["n"] % 7 == 3).any() or part["t"].isna().any():
+            raise KeyError("odd one")
+        return part.assign(half=part["n"] / 2)[["n", "half"]]
+
+    schema = T.StructType([T.StructField("n", T.LongType(), False), T.StructField("half", T.DoubleType())])
+    df = spark.createDataFrame([(i, None if i == 50 else str(i)) for i in range(100)], "n long, t string").repartition(3)
+    done = isolate(df, halved, schema)
+    good, failed = done.good.collect(), done.failed.collect()
+    assert len(good) + len(failed) == 100 and all(r["half"] == r["n"] / 2 for r in good)
+    assert sorted(json.loads(r["record"])["n"] for r in failed) == sorted([*range(3, 100, 7), 50])
+    assert {r["error"] for r in failed} == {"KeyError: 'odd one'"}
+    assert isolate(df.limit(0), halved, schema).failed.count() == 0
+    with pytest.raises(ValueError):
+        isolate(df.withColumnRenamed("t", "__error"), halved, schema)
