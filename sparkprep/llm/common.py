@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +31,14 @@ def held_out(key: str, folds: int) -> Column:
     return fold(key, folds, "2")
 
 
+def spare(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores added until no column has it (names differ in more than case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def parts(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

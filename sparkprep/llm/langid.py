@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkprep.llm.common import spare
+
 SAMPLE_ROWS = 1500
 MODEL_WORDS = 20_000
 MODEL_GRAMS = 20_000
@@ -181,6 +183,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = [use.predict(t if isinstance(t, str) else "") for t in column]
         return pd.DataFrame(found, columns=["lang_pred", "lang_score"])
 
-    kept = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "lang_score", "__guess")]
-    guessed = docs.withColumn("__guess", run(F.col(text)))
-    return guessed.select(*kept, "__guess.lang_pred", "__guess.lang_score")
+    guess = spare("guess", docs.columns)
+    kept = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    guessed = docs.withColumn(guess, run(F.col(text)))
+    return guessed.select(*kept, f"{guess}.lang_pred", f"{guess}.lang_score")

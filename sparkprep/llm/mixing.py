@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkprep.llm.common import WORD_PATTERN
+from sparkprep.llm.common import WORD_PATTERN, spare
 from sparkprep.session import materialise
 
 Schedule = Sequence[tuple[float, float]]
@@ -151,5 +151,6 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     words = F.slice(F.regexp_extract_all("document.text", F.lit(WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("cut"), F.lit(1)).cast("int"))
     text = F.when(is_cut, F.array_join(words, " ")).otherwise(F.col("document.text"))
     kept = [(text if c == "text" else F.col(f"document.`{c}`")).alias(c) for c in docs.columns]
-    hidden = F.struct("position", "doc_id", "copy").alias("__order")
-    return copies.select(*kept, hidden).repartitionByRange("__order").sortWithinPartitions("__order").drop("__order")
+    order = spare("order", docs.columns)
+    hidden = F.struct("position", "doc_id", "copy").alias(order)
+    return copies.select(*kept, hidden).repartitionByRange(order).sortWithinPartitions(order).drop(order)
