@@ -1,7 +1,7 @@
 """Quality selection by importance resampling.
 
 Two bag-of-n-grams models over ``BINS`` hashed words and word pairs are counted:
-one on target texts (documents labelled good), one on all raw texts. A document's
+one on target texts (documents labelled good, ``TARGET_IDS`` of them at most), one on all raw texts. A document's
 log importance weight is the log ratio of its probability under the two. Adding
 Gumbel noise to the weights and keeping the k largest sums draws k documents
 without replacement in proportion to their weights.
@@ -33,6 +33,8 @@ from sparkprep.session import materialise
 BINS = 10_000
 SHARE = 0.5
 SMOOTHING = 1.0
+# Target documents that the target model is fitted on, at most; their ids are broadcast.
+TARGET_IDS = 100_000
 RANGES = 1024
 
 
@@ -97,10 +99,12 @@ def _kth_largest(scores: DataFrame, k: int) -> float | None:
 def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = 1) -> DataFrame:
     """``doc_id, n_grams, log_weight, score, selected`` for every document.
 
-    ``target_ids`` holds the ids of the target documents in its column ``doc_id``.
+    ``target_ids`` holds the ids of the target documents in its column ``doc_id``; the
+    target model is fitted on those ``TARGET_IDS`` with the least hashes, the raw model
+    on all documents.
     """
-    good = target_ids.select(F.col("doc_id").alias("__good")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("__good"), "left")
+    good = target_ids.select(F.col("doc_id").alias("__good")).distinct().orderBy(F.xxhash64("__good"), "__good").limit(TARGET_IDS)
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("__good"), "left")
     marked = marked.select("doc_id", "text", F.col("__good").isNotNull().alias("good"))
     target, raw = _counts(marked)
     ratio = np.zeros(BINS)
