@@ -206,11 +206,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
 
     forest_leaves = forest.leaves
     best = index.groupBy("tree", "part").cogroup(routed.groupBy("tree", "part")).applyInPandas(rank, "q long, d array<long>, s array<double>")
-    pairs = F.arrays_zip(F.col("d"), F.col("s"))
-    merged = best.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(pairs, lambda p: F.struct((-p["s"]).alias("far"), p["d"].alias("d")))))).alias("found"))
+    pairs = F.transform(F.arrays_zip("d", "s"), lambda p: F.struct((-p["s"]).alias("far"), p["d"].alias("d")))
+    # sorted once per query; a vector that several trees met stands beside itself
+    merged = best.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list(pairs))).alias("met"))
+    merged = merged.select("q", F.filter("met", lambda p, i: ~p.eqNullSafe(F.get("met", i - 1))).alias("found"))
     # k + 1 distinct vectors, ties with the last kept, hold the k nearest rows
-    near = F.filter("found", lambda p: p["far"] <= F.element_at(F.sort_array("found"), F.least(F.size("found"), F.lit(k + 1)))["far"])
-    near = merged.select("q", F.explode(near).alias("p")).select("q", F.col("p.d").alias("d"), (-F.col("p.far")).alias("score"))
+    last = F.element_at("found", F.least(F.size("found"), F.lit(k + 1)))["far"]
+    near = merged.select("q", F.explode(F.filter("found", lambda p: p["far"] <= last)).alias("p"))
+    near = near.select("q", F.col("p.d").alias("d"), (-F.col("p.far")).alias("score"))
     named = near.join(distinct.select("d", "ids"), "d").groupBy("q").agg(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id"))))).alias("found"))
     named = materialise(named, "nearest")
     asked = asking.select("id", "h", "v").join(distinct.select("h", "v", F.col("d").alias("q")), ["h", "v"]).select("id", "q")
