@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +75,55 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries run inside, then the former ones again."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+class Scratch:
+    """Steps of one operator, written like ``materialise`` does, each dropped when nothing reads it any more.
+
+    A written step needs the shuffles behind it no longer, so their files go with the
+    write. Python workers get batches bounded by rows and bytes: rows that hold whole
+    texts are few at a time, however many a task has. Dropping a step is for its
+    writer to decide, when the steps that read it are written themselves; what is
+    not dropped stays in the shared folder.
+    """
+
+    SETTINGS = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    }
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The step under a name that no other kept step has."""
+        if name in self._paths:
+            raise ValueError(f"step {name} is still kept")
+        path = scratch_path(self.spark, name)
+        with settings(self.spark, self.SETTINGS):
+            df.write.parquet(path)
+        self._paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(name))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
