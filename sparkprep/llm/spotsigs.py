@@ -52,23 +52,31 @@ def _any_of(words: list[str]) -> str:
 
 # The length is looked at first: most words are longer than any common one.
 _COMMON = f" (?=[^ ]{{{min(map(len, COMMON))},{max(map(len, COMMON))}}} )(?={_any_of(COMMON)} )"
-# Words stand between single spaces, common ones behind a mark; the lookahead lets chains of neighbouring anchors overlap.
+# A run of common words, of any length, is one token: each word behind a mark, no spaces between. Content words stand alone.
 MARK = "\x01"
-_RUN = f"(?:{MARK}[^ ]+ ){{0,{MOST_PASSED}}}+"
-_CONTENT = f"[^ {MARK}][^ ]*"
-_SPOT = f"{MARK}(?=([^ ]+ {_RUN}{(_CONTENT + ' ' + _RUN) * (CHAIN - 1)}{_CONTENT}) )"
-_PASSED = f"{MARK}[^ ]+ "
+_JOIN = f"({MARK}[^ ]+) (?={MARK})"
+_CONTENT = f" [^ {MARK}][^ ]*"
+_RUN = f" {MARK}[^ ]+"
+# One match a run, whose anchors all have the same chain; the lookahead lets chains of neighbouring runs overlap.
+_SPOT = f"(?<= ){MARK}(?=([^ ]+{(_CONTENT + f'(?:{_RUN})?') * (CHAIN - 1)}{_CONTENT}) )"
 
 
 def signatures(text: Column) -> Column:
     """The ordered set of hashes of a text's spot signatures."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    marked = F.regexp_replace(words, _COMMON, f" {MARK}")
+    marked = F.regexp_replace(F.regexp_replace(words, _COMMON, f" {MARK}"), _JOIN, "$1")
     spots = F.array_join(F.regexp_extract_all(marked, F.lit(_SPOT), F.lit(1)), "\n")
-    # behind the anchors, drop the common words that were passed over; no spots at all leave one empty string
-    chains = F.split(F.regexp_replace(spots, _PASSED, ""), "\n")
+    # runs inside a chain are passed over; no spots at all leave one empty string
+    chains = F.split(F.regexp_replace(spots, _RUN, ""), "\n")
     whole = F.when(F.trim(words) == "", F.xxhash64(text)).otherwise(F.xxhash64(words))
-    return F.sort_array(F.array_distinct(F.transform(chains, lambda s: F.when(s == "", whole).otherwise(F.xxhash64(s)))))
+
+    def hashes(spot: Column) -> Column:
+        run = F.substring_index(spot, " ", 1)
+        chain = F.substr(spot, F.char_length(run) + 1)
+        own = F.transform(F.array_distinct(F.split(run, MARK)), lambda anchor: F.xxhash64(F.concat(anchor, chain)))
+        return F.when(spot == "", F.array(whole)).otherwise(own)
+
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(chains, hashes))))
 
 
 def digest(signs: Column) -> Column:

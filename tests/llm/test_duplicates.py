@@ -145,24 +145,20 @@ def test_components(spark):
 def spots(text):
     """Signatures by hand: each anchor that has a chain of content words after it."""
     words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-    out = set()
-    for i, word in enumerate(words):
-        if word in spotsigs.COMMON:
-            chain, passed = [], 0
-            for w in words[i + 1 :]:
-                passed = passed + 1 if w in spotsigs.COMMON else 0
-                if passed > spotsigs.MOST_PASSED or len(chain) == spotsigs.CHAIN:
-                    break
-                if not passed:
-                    chain.append(w)
-            if len(chain) == spotsigs.CHAIN:
-                out.add(" ".join([word, *chain]))
+    out, chain = set(), []
+    for word in reversed(words):
+        if word not in spotsigs.COMMON:
+            chain = [word, *chain][: spotsigs.CHAIN]
+        elif len(chain) == spotsigs.CHAIN:
+            out.add(" ".join([word, *chain]))
     return out
 
 
 def test_signatures_by_hand(spark):
     texts = [r[1] or "" for r in data.rows()]
     texts += ["the " * 50_000 + "end of it", "of " + "the " * 20 + "one two", "of " + "the " * 21 + "one " + "und " * 20 + "two three"]
+    # a run of any length passes over, and between the words of a chain
+    texts += ["of " + "the and " * 60_000 + "one " + "und " * 70_000 + "two three", "one of", "the one two", " of the of  one, of the two. "]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("doc_id", "text")
     got = {r.doc_id: set(r.s) for r in rows.select("doc_id", spotsigs.signatures(rows.text).alias("s")).collect()}
     names = sorted(set().union(*map(spots, texts)))
