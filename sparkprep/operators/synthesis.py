@@ -24,12 +24,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.cells import quoted
-from sparkprep.operators.match import VALUE_FUNCTIONS, apply_function, column_values, long_values, value_containment
+from sparkprep.operators.match import VALUE_FUNCTIONS, apply_function, column_values, contained, distinct_cells, long_values, made_values
 from sparkprep.operators.restructure import MERGE_SEPARATOR, Create, Drop, Merge, Rename, Rule, Split
 from sparkprep.session import materialise
 
@@ -62,12 +63,11 @@ def _sketch(target: DataFrame, size: int) -> DataFrame:
     return kept.withColumn("n", F.count("*").over(Window.partitionBy("v", "part"))).drop("place")
 
 
-def _estimates(source: DataFrame, candidates: Mapping[str, Column], sketch: DataFrame) -> list[tuple]:
-    """(candidate, target, part, share of the sketch that the candidate makes, size of the sketch)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(u).alias("u"), c.alias("value")) for u, c in candidates.items()]))
+def _estimates(made: DataFrame, sketch: DataFrame) -> list[tuple]:
+    """(candidate, target, part, share of the sketch that the candidate makes, size of the sketch) for values (u, value)."""
     # SKETCH values for a target column and each of its pieces: a bound that does not grow with the rows
     known = F.broadcast(sketch)
-    met = source.select(cells.alias("cell")).select("cell.*").join(known, "value").select("u", "v", "part", "n", "value").distinct()
+    met = made.join(known, "value").select("u", "v", "part", "n", "value").distinct()
     found = met.groupBy("u", "v", "part", "n").agg(F.count("*").alias("met"))
     return [(r["u"], r["v"], r["part"], r["met"] / r["n"], r["n"]) for r in found.collect()]
 
@@ -94,12 +94,16 @@ def score_programs(
 ) -> list[Program]:
     """Promising programs with their exact scores; as many as columns and functions allow, not rows."""
     texts = column_values(source)
-    made = {(f, u): VALUE_FUNCTIONS[f](c) for u, c in texts.items() for f in functions}
-    names = {f"{f}({u})": (f, (u,)) for f, u in made}
-    estimates = _estimates(source, {f"{f}({u})": c for (f, u), c in made.items()}, materialise(_sketch(target, sketch), "sketch"))
+    names = {f"{f}({u})": (f, (u,)) for u in texts for f in functions}
+    # every function runs once for a distinct cell
+    cells = materialise(distinct_cells(source), "source-cells")
+    estimates = _estimates(made_values(cells, dict.fromkeys(functions, list(texts))), materialise(_sketch(target, sketch), "sketch"))
     promising = _promising(estimates, sketch, least)
     wanted = {(u, v) for u, v, part in promising if part == 0}
-    columns = {u: made[names[u][0], names[u][1][0]] for u, _ in wanted}
+    singles: dict[str, list[str]] = {}
+    for u in {u for u, _ in wanted}:
+        singles.setdefault(names[u][0], []).append(names[u][1][0])
+    merges: dict[str, Column] = {}
     pieces = {part: {(*names[u], v) for u, v, p in promising if p == part and names[u][0] in PIECEWISE} for part in (1, 2)}
     for f, (left,), v in pieces[1]:
         for g, (right,), w in pieces[2]:
@@ -107,12 +111,15 @@ def score_programs(
                 name = f"{f}({left}{MERGE_SEPARATOR}{right})"
                 names[name] = (f, (left, right))
                 joined = F.concat_ws(MERGE_SEPARATOR, *[F.coalesce(texts[c], F.lit("")) for c in (left, right)])
-                columns[name] = VALUE_FUNCTIONS[f](joined)
+                merges[name] = VALUE_FUNCTIONS[f](joined)
                 wanted.add((name, v))
-    if not columns:
+    if not singles and not merges:
         return []
-    exact = value_containment(source, target, columns).collect()
-    sizes = {r["u"]: r["n"] for r in long_values(source, columns, "u").groupBy("u").agg(F.count("*").alias("n")).collect()}
+    parts = [made_values(cells, singles).distinct()] if singles else []
+    parts += [long_values(source, merges, "u")] if merges else []
+    values = materialise(reduce(DataFrame.unionByName, parts), "made-values")
+    exact = contained(values, target).collect()
+    sizes = {r["u"]: r["n"] for r in values.groupBy("u").agg(F.count("*").alias("n")).collect()}
     out = []
     for r in exact:
         if (r["u"], r["v"]) in wanted:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkprep.operators import synthesis
+from sparkprep.operators import match, synthesis
 from sparkprep.operators.match import VALUE_FUNCTIONS, apply_function, column_values
 from sparkprep.operators.restructure import Create, Drop, Merge, Rename, Split
 from sparkprep.plans.run import prepare_from_example
@@ -89,3 +89,15 @@ def test_functions_leave_markers_alone(spark):
     df = spark.createDataFrame([("NA",), ("_ext_",), ("2024-05-06 01:02:03",), ("x Y",), (None,)], "c string")
     assert [r[0] for r in df.select(apply_function(F.col("c"), "day_month_year")).collect()] == ["NA", "_ext_", "06-05-2024", None, None]
     assert [r[0] for r in df.select(apply_function(F.col("c"), "lower")).collect()][-2:] == ["x y", None]
+
+
+def test_functions_run_on_distinct_cells_and_make_the_same_values(spark):
+    """Rows are reduced to distinct cells before the functions; missing cells are kept, as a function may make a value of one."""
+    source = spark.createDataFrame([("Ab c", 1), ("Ab c", 1), (None, 7), ("", None), (" x", 7)] * 3, "a string, b int")
+    cells = match.distinct_cells(source)
+    assert cells.count() == 6
+    made = match.made_values(cells, dict.fromkeys(match.VALUE_FUNCTIONS, source.columns)).distinct()
+    each = match.long_values(source, match.candidate_expressions(source), "u")
+    assert {tuple(r) for r in made.collect()} == {tuple(r) for r in each.collect()}
+    some = match.made_values(cells, {"lower": ["a"]})
+    assert {tuple(r) for r in some.collect()} == {("lower(a)", "ab c"), ("lower(a)", " x")}
