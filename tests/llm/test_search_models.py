@@ -182,6 +182,64 @@ def test_threshold_keeps_the_recall():
     assert 0.2 < net.precision < 0.9
 
 
+def test_every_candidate_trains(spark, monkeypatch):
+    """No candidate and no character is left out of training, calibration and threshold, however many there are."""
+    rng = np.random.default_rng(8)
+    tail = "".join(rng.choice(list("ghijkl"), 700))
+    docs = [(i, f"see {i}.example.com/{tail}{i} or token={i:014x}Zz", "en") for i in range(4500)]
+    docs += [(0, docs[0][1], "en")] * 3
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = charnet._labelled(table)
+    assert sorted(found.groupBy("secret").agg(F.sum("n")).collect()) == [(False, 4503), (True, 4503)]
+    packed = charnet._sharded(found, 7).toPandas()
+    shards = list(charnet._unpacked([packed]))
+    assert sum(n.sum() for *_, n in shards) == 9006
+    want = charnet.windows(docs[9][1], charnet.candidates(docs[9][1]))
+    assert set(want) <= {row for _, rows, _, _ in shards for row in rows} and len(want[0]) > 700
+    seen = []
+    calibrate = charnet._calibrate
+
+    def watched(net, total):
+        seen.append(total(lambda raw, y, n: np.array([n.sum(), (n * (y == 1)).sum()])).tolist())
+        return calibrate(net, total)
+
+    monkeypatch.setattr(charnet, "_calibrate", watched)
+    net = charnet.fit(table)
+    # every secret counts twice, once blanked
+    assert seen == [[3 * 4503, 2 * 4503]]
+    assert net.recall >= charnet.RECALL and net.precision > 0.9
+
+
+def test_calibration_by_sums():
+    """The threshold is the exact rank, and the logistic fit the optimum, from sums over any parts."""
+    rng = np.random.default_rng(9)
+    y = (rng.random(5000) < 0.2).astype(float)
+    raw = (rng.normal(size=5000) + 2 * y - 1).astype("f4")
+    raw[:9] = [0.0, -0.0, 1e-30, -1e-30, 40, -40, 1, 1, 1]
+    n = rng.integers(1, 4, 5000)
+    net = charnet._calibrate(charnet.fresh(), lambda part: sum(part(raw[i::3], y[i::3], n[i::3]) for i in range(3)))
+    every, labels = np.repeat(raw, n), np.repeat(y, n)
+    found = np.sort(every[labels == 1])
+    least = found[int((1 - charnet.RECALL) * len(found) + 1e-9)]
+    assert net.threshold == net.calibrated(least)
+    assert net.recall == (found >= least).mean() and net.precision == pytest.approx(labels[every >= least].mean())
+    assert net.calibrated(every).mean() == pytest.approx(labels.mean(), abs=1e-3)
+
+
+def test_network_gradients():
+    rows = list(charnet.windows('a 0123456789abcdefXY "', [(2, 20)])) + list(charnet.windows("x" * 9000 + " " + "9" * 40, [(0, 9000)]))
+    y, weight, net = np.array([1.0, 0.0]), np.array([1.0, 2.0]), charnet.fresh()
+    for name, gradient in charnet._gradients(net, rows, y, weight).items():
+        at = np.unravel_index(np.abs(gradient).argmax(), gradient.shape)
+        loss = []
+        for step in (0.01, -0.01):
+            moved = getattr(net, name).copy()
+            moved[at] += step
+            raw = charnet.replace(net, **{name: moved})._forward(rows, 1000)[3]
+            loss.append((weight * (np.logaddexp(0, raw) - y * raw)).mean())
+        assert gradient[at] == pytest.approx((loss[0] - loss[1]) / 0.02, rel=0.02)
+
+
 def test_whole_candidates_are_judged():
     class Found:
         threshold = 0.5
