@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import pathlib
 import random
 import sys
 
@@ -8,6 +9,7 @@ sys.path.insert(0, __file__.rsplit("/", 1)[0])
 import data  # noqa: E402
 from sparkprep.llm import graph, order_minhash, spotsigs  # noqa: E402
 from sparkprep.llm.common import WORDS  # noqa: E402
+from sparkprep.session import Scratch, shared_folder  # noqa: E402
 
 
 def distance(a, b):
@@ -129,6 +131,33 @@ def test_dedup_of_null_and_repeated_ids(spark):
     assert len(found) == len(rows) and len({r.class_key for r in found}) == 9
 
 
+def test_pairs_carry_words_in_shares(spark, monkeypatch):
+    """Where pairs are many more than texts their words come share by share, and what the pairs were made of is gone by then."""
+    rng = random.Random(4)
+    lists = [[rng.randrange(1000) for _ in range(30)] for _ in range(4)]
+    lists += [[*words[:-1], 1001 + i] for i, words in enumerate(lists * 4)]
+    words = spark.createDataFrame(list(enumerate(lists)), "node long, words array<int>")
+    scratch = Scratch(spark)
+    pairs = scratch.write(spark.createDataFrame([(a, b) for a in range(20) for b in range(a)], "a long, b long"), "pairs")
+    near, steps = order_minhash._in_shares(pairs, words, 0.8, scratch, "near")
+    assert sorted(tuple(r) for r in near.collect()) == sorted((a, b) for a in range(20) for b in range(a) if (a - b) % 4 == 0)
+    assert len(steps) == 10
+    scratch.drop("pairs", *steps)
+    held, verified = [], order_minhash._verified
+    folder = pathlib.Path(shared_folder(spark), "sparkprep")
+    before = {p.name for p in folder.iterdir()}
+
+    def watched(*args):
+        held.append({p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before})
+        return verified(*args)
+
+    monkeypatch.setattr(order_minhash, "_verified", watched)
+    found = order_minhash.classes(data.documents(spark))
+    assert len(held) >= 3 and "buckets" in held[0]
+    assert not held[-1] & {"buckets", "candidates-0", "candidates-1", "near-0-0", "near-1-0", "met-0"}
+    assert found.count() == data.documents(spark).count()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
