@@ -246,3 +246,52 @@ def test_near_pairs_equal_brute_force(spark):
             want.add(tuple(sorted((least[x], least[y]))))
     assert {(r.a, r.b) for r in spotsigs.near_pairs(docs).collect()} == want
     assert {r.doc_id: r.class_id for r in spotsigs.membership(docs).collect()} == {i: least[s] for i, s in signs.items()}
+
+
+def test_marks_and_runs_lose_no_near_copy(spark):
+    """What lengths, slots of words and rare runs rule out holds no near copy, at any length and repeats included."""
+    rng = random.Random(31)
+    lists = []
+    for _ in range(80):
+        words = [rng.randrange(60) for _ in range(rng.randrange(5, 70))]
+        lists.append(words)
+        for _ in range(4):
+            own = list(words)
+            for _ in range(rng.randrange(1 + int(0.25 * len(words)))):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [rng.randrange(60)] * rng.randrange(3)
+            lists.append(own)
+    lists = [words for words in lists if len(words) >= 5]
+    numbers = [[(w + 1) * 0x9E3779B1 % (1 << 31) for w in words] for words in lists]
+    words = spark.createDataFrame(list(enumerate(numbers)), "node long, words array<int>")
+    pairs = [(a, b) for a in range(len(lists)) for b in range(max(0, a - 12), a)]
+    near = {(a, b) for a, b in pairs if order_minhash.similar(lists[a], lists[b])}
+    possible = order_minhash._possible(spark.createDataFrame(pairs, "a long, b long"), order_minhash._marked(words), 0.8)
+    left = {tuple(r) for r in possible.collect()}
+    assert len(near) > 100 and near <= left and len(left) < len(pairs) / 2
+    open_ = words.selectExpr("node", "size(words) n_words", "node c")
+    runs = {}
+    for row in order_minhash._rare_first(open_, words, 0.8).collect():
+        runs.setdefault(row.node, set()).add(row.word)
+    assert all(runs[a] & runs[b] for a, b in near)
+
+
+def test_texts_with_a_common_passage_are_not_aligned(spark, monkeypatch):
+    """Texts that share a passage and a vocabulary, but are no copies, are ruled out before their words are fetched."""
+    rng = random.Random(32)
+    vocabulary = [f"v{i}" for i in range(300)]
+    passage = " ".join(rng.choices(vocabulary, k=40))
+    texts = [" ".join(rng.choices(vocabulary, k=90)) + " " + passage for _ in range(60)]
+    near = texts[7].split()
+    near[3:6] = ["x", "y"]
+    met, verified = [], order_minhash._verified
+
+    def watched(pairs, *rest):
+        met.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(order_minhash, "_verified", watched)
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(near)])), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+    assert found == {i: i for i in range(60)} | {60: 7}
+    assert sum(met) < 10
