@@ -5,15 +5,15 @@ function, two source columns joined by ``|`` (and put through a function), or on
 column split at its first space into two targets. A program's score is the share of the
 target's distinct values that it makes, then how little else it makes (Jaccard).
 
-The search is in two steps, so that only promising programs are computed in full:
+Every function of every source column is scored, and every merge under a function that
+leaves the joined pieces in their places (``PIECEWISE``). Nothing is estimated: a program
+that reaches the least wanted containment is found. Two exact steps keep the work small:
 
-1. every target column's values are sketched by those with the least hashes (a
-   bottom-k sketch, ``SKETCH`` values a column, all of them if there are fewer); one pass
-   over the source counts which sketched values each candidate makes. The two pieces
-   of joined target values are sketched like columns of their own, which proposes the
-   two sources of a merge without trying pairs;
-2. candidates whose estimate could reach the best and the least wanted score are
-   scored exactly, by distinct values over the whole tables.
+1. a merge of two columns can only make a target value if the text before one of its
+   separators is a cell of the first and the text after it one of the second. Counting
+   these texts over distinct cells bounds each side's containment from above, so pairs of
+   columns are joined over the rows only where both sides can reach the least wanted one;
+2. what a program makes beside the target is counted for those that reach it.
 
 Programs are then assigned best first, every source and target column once; two
 sources go to one target by a merge, one source to two targets by a split.
@@ -21,12 +21,10 @@ sources go to one target by a merge, one source to two targets by a split.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.cells import quoted
@@ -34,7 +32,6 @@ from sparkprep.operators.match import VALUE_FUNCTIONS, apply_function, column_va
 from sparkprep.operators.restructure import MERGE_SEPARATOR, Create, Drop, Merge, Rename, Rule, Split
 from sparkprep.session import materialise
 
-SKETCH = 256
 LEAST_CONTAINMENT = 0.5
 # Functions that leave the pieces of a joined text in their places.
 PIECEWISE = ("identity", "lower")
@@ -52,37 +49,34 @@ class Program:
     jaccard: float
 
 
-def _sketch(target: DataFrame, size: int) -> DataFrame:
-    """``v, part, value, n``: the values with the least hashes per target column (part 0) and piece (1, 2), and how many."""
+def _pieces(target: DataFrame) -> DataFrame:
+    """``v, side, piece, n``: hashes of the texts before (side 0) and after (1) each separator of a target column's values."""
     values = long_values(target, column_values(target), "v")
-    pieces = F.split("value", f"\\Q{MERGE_SEPARATOR}\\E")
-    parts = F.when(F.size(pieces) == 2, F.array(F.col("value"), F.get(pieces, 0), F.get(pieces, 1))).otherwise(F.array("value"))
-    spread = values.select("v", F.posexplode(parts).alias("part", "value")).where("part = 0 or value <> ''").distinct()
-    least = Window.partitionBy("v", "part").orderBy(F.xxhash64("value"), "value")
-    kept = spread.withColumn("place", F.row_number().over(least)).where(F.col("place") <= size)
-    return kept.withColumn("n", F.count("*").over(Window.partitionBy("v", "part"))).drop("place")
-
-
-def _estimates(made: DataFrame, sketch: DataFrame) -> list[tuple]:
-    """(candidate, target, part, share of the sketch that the candidate makes, size of the sketch) for values (u, value)."""
-    # SKETCH values for a target column and each of its pieces: a bound that does not grow with the rows
-    known = F.broadcast(sketch)
-    met = made.join(known, "value").select("u", "v", "part", "n", "value").distinct()
-    found = met.groupBy("u", "v", "part", "n").agg(F.count("*").alias("met"))
-    return [(r["u"], r["v"], r["part"], r["met"] / r["n"], r["n"]) for r in found.collect()]
-
-
-def _promising(estimates: Sequence[tuple], size: int, least: float) -> set[tuple[str, str, int]]:
-    """Candidates that may, within three standard errors, reach the best and the least wanted share."""
-    best: dict[tuple, float] = {}
-    for _, v, part, share, _ in estimates:
-        best[v, part] = max(best.get((v, part), 0.0), share)
-    out = set()
-    for u, v, part, share, n in estimates:
-        error = 3 * math.sqrt(0.25 / n) if n >= size else 0.0
-        if share + error >= least and share + 2 * error >= best[v, part]:
-            out.add((u, v, part))
-    return out
+    values = values.select("v", F.split("value", f"\\Q{MERGE_SEPARATOR}\\E").alias("pieces"))
+    cut = values.where(F.size("pieces") > 1).select("v", "pieces", F.explode(F.sequence(F.lit(1), F.size("pieces") - 1)).alias("nth"))
+    rest = F.slice("pieces", F.col("nth") + 1, F.size("pieces") - F.col("nth"))
+    sides = [F.xxhash64(F.array_join(part, MERGE_SEPARATOR)) for part in (F.slice("pieces", F.lit(1), F.col("nth")), rest)]
+    return cut.select("v", F.posexplode(F.array(*sides)).alias("side", "piece")).groupBy("v", "side", "piece").agg(F.count("*").alias("n"))
+
+
+def _mergeable(cells: DataFrame, target: DataFrame, functions: Sequence[str], least: float) -> list[tuple[str, str, str, str]]:
+    """(function, source, source, target column) of all merges that can make ``least`` of the target's values.
+
+    A value is counted once a separator and a hash may be shared by chance, so the counts
+    are upper bounds: no merge that reaches ``least`` is lost. A missing cell is an empty text.
+    """
+    if not functions:
+        return []
+    text = F.coalesce("value", F.lit(""))
+    made = F.array(*[F.struct(F.lit(f).alias("f"), F.xxhash64(VALUE_FUNCTIONS[f](text)).alias("piece")) for f in functions])
+    met = cells.select("c", F.explode(made).alias("made")).select("c", "made.*").distinct().join(_pieces(target), "piece")
+    totals = long_values(target, column_values(target), "v").groupBy("v").agg(F.count("*").alias("n_target"))
+    found = met.groupBy("f", "v", "side", "c").agg(F.sum("n").alias("n")).join(F.broadcast(totals), "v")
+    able: dict[tuple, tuple[list[str], list[str]]] = {}
+    for r in found.collect():
+        if r["n"] / r["n_target"] >= least:
+            able.setdefault((r["f"], r["v"]), ([], []))[r["side"]].append(r["c"])
+    return [(f, a, b, v) for (f, v), (left, right) in able.items() for a in left for b in right if a != b]
 
 
 def score_programs(
@@ -90,49 +84,52 @@ def score_programs(
     target: DataFrame,
     functions: Sequence[str] = tuple(VALUE_FUNCTIONS),
     least: float = LEAST_CONTAINMENT,
-    sketch: int = SKETCH,
+    sketch: int | None = None,
 ) -> list[Program]:
-    """Promising programs with their exact scores; as many as columns and functions allow, not rows."""
+    """All programs that make ``least`` of a target column's values; as many as columns and functions allow, not rows.
+
+    ``sketch`` is taken for callers that pass it and changes nothing: no candidate is left out by an estimate.
+    """
     texts = column_values(source)
     names = {f"{f}({u})": (f, (u,)) for u in texts for f in functions}
     # every function runs once for a distinct cell
     cells = materialise(distinct_cells(source), "source-cells")
-    estimates = _estimates(made_values(cells, dict.fromkeys(functions, list(texts))), materialise(_sketch(target, sketch), "sketch"))
-    promising = _promising(estimates, sketch, least)
-    wanted = {(u, v) for u, v, part in promising if part == 0}
-    singles: dict[str, list[str]] = {}
-    for u in {u for u, _ in wanted}:
-        singles.setdefault(names[u][0], []).append(names[u][1][0])
     merges: dict[str, Column] = {}
-    pieces = {part: {(*names[u], v) for u, v, p in promising if p == part and names[u][0] in PIECEWISE} for part in (1, 2)}
-    for f, (left,), v in pieces[1]:
-        for g, (right,), w in pieces[2]:
-            if (f, v) == (g, w) and left != right:
-                name = f"{f}({left}{MERGE_SEPARATOR}{right})"
-                names[name] = (f, (left, right))
-                joined = F.concat_ws(MERGE_SEPARATOR, *[F.coalesce(texts[c], F.lit("")) for c in (left, right)])
-                merges[name] = VALUE_FUNCTIONS[f](joined)
-                wanted.add((name, v))
-    if not singles and not merges:
+    for f, left, right in sorted({m[:3] for m in _mergeable(cells, target, [f for f in PIECEWISE if f in functions], least)}):
+        # a number is no name of a function of a column
+        name = str(len(merges))
+        names[name] = (f, (left, right))
+        merges[name] = VALUE_FUNCTIONS[f](F.concat_ws(MERGE_SEPARATOR, *[F.coalesce(texts[c], F.lit("")) for c in (left, right)]))
+
+    def made(wanted: Sequence[str]) -> DataFrame:
+        """Values (u, value) of the named programs, which may repeat."""
+        singles: dict[str, list[str]] = {}
+        for f, sources in (names[u] for u in wanted if u not in merges):
+            singles.setdefault(f, []).append(*sources)
+        joined = {u: merges[u] for u in wanted if u in merges}
+        values = long_values(source, joined, "u") if joined else None
+        if not singles:
+            return values
+        return made_values(cells, singles) if values is None else made_values(cells, singles).unionByName(values)
+
+    reached = [r for r in contained(made(list(names)), target).collect() if r["common"] / r["n_target"] >= least] if names else []
+    if not reached:
         return []
-    parts = [made_values(cells, singles).distinct()] if singles else []
-    parts += [long_values(source, merges, "u")] if merges else []
-    values = materialise(reduce(DataFrame.unionByName, parts), "made-values")
-    exact = contained(values, target).collect()
-    sizes = {r["u"]: r["n"] for r in values.groupBy("u").agg(F.count("*").alias("n")).collect()}
+    wanted = {r["u"] for r in reached}
+    sizes = made([u for u in names if u in wanted]).distinct().groupBy("u").agg(F.count("*").alias("n"))
+    sizes = {r["u"]: r["n"] for r in sizes.collect()}
     out = []
-    for r in exact:
-        if (r["u"], r["v"]) in wanted:
-            function, sources = names[r["u"]]
-            jaccard = r["common"] / (r["n_target"] + sizes[r["u"]] - r["common"])
-            out.append(Program((r["v"],), sources, function, r["common"] / r["n_target"], jaccard))
+    for r in reached:
+        function, sources = names[r["u"]]
+        jaccard = r["common"] / (r["n_target"] + sizes[r["u"]] - r["common"])
+        out.append(Program((r["v"],), sources, function, r["common"] / r["n_target"], jaccard))
     by_function = {(p.function, p.sources[0], p.targets[0]): p for p in out if len(p.sources) == 1}
     for (f, u, v), first in by_function.items():
         for (g, x, w), rest in by_function.items():
             if (f, g) == SPLIT and u == x and v != w:
                 worst = (min(first.containment, rest.containment), min(first.jaccard, rest.jaccard))
                 out.append(Program((v, w), (u,), "split", *worst))
-    return [p for p in out if p.containment >= least]
+    return out
 
 
 def assign(programs: Sequence[Program], source_columns: Sequence[str]) -> list[Program]:

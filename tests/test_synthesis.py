@@ -101,3 +101,23 @@ def test_functions_run_on_distinct_cells_and_make_the_same_values(spark):
     assert {tuple(r) for r in made.collect()} == {tuple(r) for r in each.collect()}
     some = match.made_values(cells, {"lower": ["a"]})
     assert {tuple(r) for r in some.collect()} == {("lower(a)", "ab c"), ("lower(a)", " x")}
+
+
+def test_every_program_that_reaches_the_least_containment_is_scored(spark):
+    """Programs far behind a column's best, and merges of which one piece alone meets few of the target's, against trying everything."""
+    rows = [(f"k{i % 2}" if i < 600 else None, str(i), f"v{i}", f"v{i}" if i % 5 < 3 else f"w{i}", f"p{i}|q") for i in range(1000)]
+    source = spark.createDataFrame(rows, "a string, b string, c string, d string, e string")
+    goal = [(f"k{i % 2}|{i}" if i < 600 else f"z{i}|{i}", f"v{i}", f"P{i}|q|v{i}".lower(), f"|{i}" if i >= 600 else None) for i in range(1000)]
+    example = spark.createDataFrame(goal, "m string, n string, o string, e string")
+    got = {(p.targets, p.sources, p.function): (p.containment, p.jaccard) for p in synthesis.score_programs(source, example)}
+    want = {}
+    for v in range(4):
+        known = {r[v] for r in goal} - {None}
+        for i in range(5):
+            for j in range(5):
+                made = {r[i] if i == j else f"{r[i] or ''}|{r[j] or ''}" for r in rows} - {None}
+                if len(made & known) / len(known) >= 0.5:
+                    sources = ("abcde"[i],) if i == j else ("abcde"[i], "abcde"[j])
+                    want[example.columns[v], sources] = (len(made & known) / len(known), len(made & known) / len(made | known))
+    assert {(t[0], s): score for (t, s, f), score in got.items() if f == "identity"} == want
+    assert {k: v[0] for k, v in want.items()} == {("m", ("a", "b")): 0.6, ("n", ("c",)): 1.0, ("n", ("d",)): 0.6, ("o", ("e", "c")): 1.0, ("o", ("e", "d")): 0.6, ("e", ("a", "b")): 1.0}
