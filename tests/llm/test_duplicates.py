@@ -295,3 +295,34 @@ def test_texts_with_a_common_passage_are_not_aligned(spark, monkeypatch):
     found = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
     assert found == {i: i for i in range(60)} | {60: 7}
     assert sum(met) < 10
+
+
+def test_members_of_a_bucket_meet_by_rows_of_a_fixed_size(spark, monkeypatch):
+    """All near copies within large and small buckets are among the pairs; what meets carries no lists that grow with a text."""
+    rng = random.Random(33)
+    lists = []
+    for _ in range(40):
+        words = [rng.randrange(25) for _ in range(rng.randrange(20, 60))]
+        for _ in range(4):
+            own = list(words)
+            for _ in range(rng.randrange(1 + int(0.2 * len(words)))):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [rng.randrange(25)] * rng.randrange(3)
+            lists.append(own)
+    numbers = [[(w + 1) * 0x9E3779B1 % (1 << 31) for w in words] for words in lists]
+    words = spark.createDataFrame(list(enumerate(numbers)), "node long, words array<int>")
+    # the first text leads a bucket of all, every tenth text one of a few
+    members = [(0, i) for i in range(len(lists))] + [(1 + i // 10, i) for i in range(len(lists))]
+    shared = spark.createDataFrame([(k, i, len(lists[i]), 0 if k == 0 else (k - 1) * 10) for k, i in members], "key long, node long, n_words long, leader long")
+    found = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    steps, write = {}, order_minhash.Scratch.write
+
+    def watched(self, df, name):
+        steps[name] = df.dtypes
+        return write(self, df, name)
+
+    monkeypatch.setattr(order_minhash.Scratch, "write", watched)
+    got = {tuple(r) for r in order_minhash._across(shared, found, words, 0.8, order_minhash.Scratch(spark)).collect()}
+    near = {(a, b) for a in range(1, len(lists)) for b in range(1, a) if order_minhash.similar(lists[a], lists[b])}
+    assert len(near) > 50 and near <= got and len(got) < len(lists) ** 2 / 4
+    assert not [c for name in steps if name.startswith(("rare-words", "dealt", "met")) for c in steps[name] if c[1].startswith("array")]
