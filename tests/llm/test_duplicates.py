@@ -4,6 +4,8 @@ import pathlib
 import random
 import sys
 
+import pytest
+
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 
 import data  # noqa: E402
@@ -297,8 +299,10 @@ def test_texts_with_a_common_passage_are_not_aligned(spark, monkeypatch):
     assert sum(met) < 10
 
 
-def test_members_of_a_bucket_meet_by_rows_of_a_fixed_size(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [4, 256])
+def test_members_of_a_bucket_meet_by_rows_of_a_fixed_size(spark, monkeypatch, rows):
     """All near copies within large and small buckets are among the pairs; what meets carries no lists that grow with a text."""
+    monkeypatch.setattr(order_minhash, "LIST_ROWS", rows)
     rng = random.Random(33)
     lists = []
     for _ in range(40):
