@@ -210,6 +210,23 @@ def test_every_candidate_trains(spark, monkeypatch):
     assert net.recall >= charnet.RECALL and net.precision > 0.9
 
 
+def test_shards_are_spread_over_tasks(spark, monkeypatch):
+    """A task trains on few shards, however many there are."""
+    docs = [(i, f"see {i}.example.com/{i * i} or token={i:014x}Zz") for i in range(400)]
+    monkeypatch.setattr(charnet, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(charnet, "_calibrate", lambda net, total: net)
+    shards, tasks = [], []
+
+    def watched(df, part):
+        shards.append(df.count())
+        tasks.append(df.rdd.getNumPartitions())
+        return np.zeros(3 * len(charnet._flat(charnet.fresh())), dtype="i8")
+
+    monkeypatch.setattr(charnet, "_sum_by_slot", watched)
+    charnet.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert len(shards) == charnet.ROUNDS and min(shards) > 20 and min(n * 8 for n in tasks) >= max(shards)
+
+
 def test_calibration_by_sums():
     """The threshold is the exact rank, and the logistic fit the optimum, from sums over any parts."""
     rng = np.random.default_rng(9)
